@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, leakage, ranking, topn
+from tidemark.llm import conversations, leakage, pii, ranking, topn
 from tidemark.runtime import table
 
 _SCORES = ["time_score", "embedding_score", "sparse_score", "keyword_score"]
@@ -21,6 +21,22 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.turns(table(spark, sf_dir, "chat_message")).select("session_id", "position", "row_id", "role")
 
 
+_TEXTS = {"chat_message": ("row_id", "content"), "context_event": ("delivery_id", "text"), "documents": ("doc_id", "text")}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in the three tables with free text."""
+    parts = [pii.find_items(table(spark, sf_dir, src), row, text).withColumn("src", F.lit(src)) for src, (row, text) in _TEXTS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("src", "row_id", "kind", "surface")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with typed placeholders."""
+    parts = [
+        pii.redact(table(spark, sf_dir, src).select(F.lit(src).alias("src"), F.col(row).alias("row_id"), F.col(text).alias("text")), "text") for src, (row, text) in _TEXTS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best refs of every node."""
     refs = table(spark, sf_dir, "context_ref")
@@ -46,7 +62,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p4_found, p7_found, p7_ranked, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found)}
 
 _ALIASES = "CASE " + " ".join(
     f"WHEN r IN ({', '.join(repr(x) for x in names)}) THEN '{role}'" for role, names in conversations.ROLE_ALIASES.items()) + " END"
