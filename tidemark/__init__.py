@@ -1 +1,8 @@
 """tidemark: temporal per-entity analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions go to the executors by value, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
