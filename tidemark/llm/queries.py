@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, leakage, pii, ranking, topn
+from tidemark.llm import conversations, leakage, mixing, pii, ranking, reading, topn
 from tidemark.runtime import table
 
 _SCORES = ["time_score", "embedding_score", "sparse_score", "keyword_score"]
@@ -62,7 +62,31 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found)}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mix that reaches the target shares, with how often each is used."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of that mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))[1]
+
+
+def _p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are demanding to read: level 4 or 5."""
+    return _p10(spark, sf_dir).filter("level >= 3.5").select("doc_id").distinct()
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents stand at each level."""
+    return _p10(spark, sf_dir).groupBy(F.round("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found, p9_mix, p9_shares, p10_found, p10_profile)}
 
 _ALIASES = "CASE " + " ".join(
     f"WHEN r IN ({', '.join(repr(x) for x in names)}) THEN '{role}'" for role, names in conversations.ROLE_ALIASES.items()) + " END"
