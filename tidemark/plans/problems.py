@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.operators import dedup, late_events, nested
 from tidemark.runtime import table
 
-_PREFER = [F.col("created_at_ms").asc_nulls_last(), F.col("delivery_id").asc()]
+def _prefer() -> list:
+    return [F.col("created_at_ms").asc_nulls_last(), F.col("delivery_id").asc()]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of ``context_event`` that are not kept."""
     events = table(spark, sf_dir, "context_event").select("delivery_id", "tenant", "event_id_hash", "created_at_ms")
-    return dedup.mark_copies(events, "tenant", "event_id_hash", _PREFER).filter("not accepted").select("delivery_id")
+    return dedup.mark_copies(events, "tenant", "event_id_hash", _prefer()).filter("not accepted").select("delivery_id")
 
 
 def p2_kept_per_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "context_event").select("delivery_id", "tenant", "event_id_hash", "created_at_ms")
-    marked = dedup.mark_copies(events, "tenant", "event_id_hash", _PREFER)
+    marked = dedup.mark_copies(events, "tenant", "event_id_hash", _prefer())
     return marked.groupBy("tenant").agg(F.count_if("accepted").alias("kept"), F.count_if(~F.col("accepted")).alias("dropped"))
 
 
