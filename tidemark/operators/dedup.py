@@ -59,8 +59,9 @@ def mark_copies(df: DataFrame, producer: str, number: str, prefer: list[Column],
     ``producer`` and ``number`` are BIGINT. ``prefer`` orders the copies, best first; it should end in a
     unique column, else ties are settled arbitrarily but still leave one row. Rows whose producer or number is
     null, or whose number is 0, name no message: they are all kept. All other columns pass through, whatever
-    their names; an empty table gives an empty table. Equal rows count as copies like any others.
+    their names, but for one called ``flag``, which is replaced; an empty table gives an empty table. Equal rows count as copies like any others.
     """
+    df = df.drop(flag)
     names = df.columns
     edge, part, order = (fresh_name([*names, flag], x) for x in ("__edge", "__part", "__order"))
     named = F.col(number).isNotNull() & F.col(producer).isNotNull() & (F.col(number) != 0)
