@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import cut, repartition_for
+from tidemark.runtime import cut, fresh_name, repartition_for
 
 DAMPING, STEPS = 0.85, 48
 
@@ -64,7 +64,7 @@ def walk(group: np.ndarray, scores: list[np.ndarray], damping: float = DAMPING,
     return pi, [(higher, np.where(np.isnan(s), 0, end - begin)) for s, (_, higher, begin, end, _) in zip(scores, sides)]
 
 
-def _walk_groups(group: str, item: str, scores: list[str]):
+def _walk_groups(group: str, item: str, scores: list[str], damping: float, steps: int):
     names = [group, item, "weight", "place", *(f"{s}_higher" for s in scores), *(f"{s}_tied" for s in scores)]
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def _walk_groups(group: str, item: str, scores: list[str]):
         g = t[group].combine_chunks()
         codes = np.cumsum(np.concatenate([[0], _differs(g)]))
         values = [t[s].to_numpy(zero_copy_only=False).astype(float) for s in scores]
-        pi, sides = walk(codes, values)
+        pi, sides = walk(codes, values, damping, steps)
         # a stable order: weight first (rounded, so that the last bits of a sum decide nothing), then the item
         ids = pc.rank(t[item].combine_chunks(), tiebreaker="dense").to_numpy()
         order = np.lexsort((ids, -np.round(pi, 12), codes))
@@ -111,7 +111,7 @@ def _differs(a: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return pc.not_equal(a[1:], a[:-1]).to_numpy(zero_copy_only=False)
 
 
-def rank_walk(df: DataFrame, group: str, item: str, scores: list[str], large: int = 1_000_000) -> DataFrame:
+def rank_walk(df: DataFrame, group: str, item: str, scores: list[str], large: int = 1_000_000, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
     """``group, item, weight, place`` and, per score, ``<score>_higher`` (items strictly above it) and
     ``<score>_tied`` (items with its value, itself included; 0 for a null) of every item.
 
@@ -119,20 +119,25 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: list[str], large: in
     below every value and tie with one another. Rows repeated for an item count once (of differing rows the one with the
     highest scores, taken in the order given). Rows with a null group or item are left out. Other columns are ignored.
     """
+    n = len(scores)
+    inner = [f"s{i}" for i in range(n)]
     clean = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).select(
-        group, item, *(F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(s) for s in scores))
-    counts = clean.groupBy(group).count().filter(F.col("count") > large).select(group)
+        F.col(group).alias("g"), F.col(item).alias("i"), *(F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(x) for s, x in zip(scores, inner)))
+    counts = clean.groupBy("g").count().filter(F.col("count") > large).select("g")
     big = [r[0] for r in counts.limit(10_001).collect()]  # at most total / large groups
     if len(big) > 10_000:
         raise ValueError(f"more than 10,000 groups of over {large} items: raise `large`")
-    kinds = dict(df.dtypes)
-    cols = [f"`{group}` {kinds[group]}", f"`{item}` {kinds[item]}", "weight double", "place bigint", *(f"`{s}_higher` bigint" for s in scores), *(f"`{s}_tied` bigint" for s in scores)]
-    small = clean if not big else clean.filter(~F.col(group).isin(big))
-    flat = repartition_for(small, group).sortWithinPartitions(group, item, *(F.col(s).desc_nulls_last() for s in scores)).mapInArrow(_walk_groups(group, item, scores), ", ".join(cols))
+    kinds = dict(clean.dtypes)
+    cols = [f"g {kinds['g']}", f"i {kinds['i']}", "weight double", "place bigint", *(f"{s}_higher bigint" for s in inner), *(f"{s}_tied bigint" for s in inner)]
+    small = clean if not big else clean.filter(~F.col("g").isin(big))
+    flat = repartition_for(small, "g").sortWithinPartitions("g", "i", *(F.col(s).desc_nulls_last() for s in inner)).mapInArrow(_walk_groups("g", "i", inner, damping, steps), ", ".join(cols))
     for g in big:
-        once = clean.filter(F.col(group) == g).groupBy(group, item).agg(F.max(F.struct(*scores)).alias("s")).select(group, item, *(F.col("s")[s].alias(s) for s in scores))
-        flat = flat.unionByName(_walk_large(once, group, item, scores).select(*flat.columns))
-    return flat
+        once = clean.filter(F.col("g") == g).groupBy("g", "i").agg(F.max(F.struct(*inner)).alias("s")).select("g", "i", *(F.col("s")[s].alias(s) for s in inner))
+        flat = flat.unionByName(_walk_large(once, "g", "i", inner, damping, steps).select(*flat.columns))
+    given = [group, item]
+    return flat.select(
+        F.col("g").alias(group), F.col("i").alias(item), F.col("weight").alias(fresh_name(given, "weight")), F.col("place").alias(fresh_name(given, "place")),
+        *(F.col(f"{x}_{k}").alias(fresh_name(given, f"{s}_{k}")) for s, x in zip(scores, inner) for k in ("higher", "tied")))
 
 
 def _prefix(df: DataFrame, by: list, total: str, amount: str, slices: int) -> DataFrame:
@@ -147,7 +152,7 @@ def _prefix(df: DataFrame, by: list, total: str, amount: str, slices: int) -> Da
     return placed.withColumn("__inner", inner).join(F.broadcast(before.select("__slice", "__before")), "__slice").withColumn(total, F.col("__inner") + F.col("__before")).drop("__slice", "__inner", "__before")
 
 
-def _walk_large(df: DataFrame, group: str, item: str, scores: list[str], damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def _walk_large(df: DataFrame, group: str, item: str, scores: list[str], damping: float, steps: int) -> DataFrame:
     """The walk over one group too large for a task; each row's ranks are fixed once, then every step is one aggregate over
     rank values, whose prefix sums are taken slice by slice."""
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -37,15 +37,15 @@ def _local_best(group: list[str], item: str, order: list[tuple[str, str]], n: in
         if not t.num_rows:
             return t
         g = _codes(*(t[c] for c in group))
-        t = t.append_column("__g", pa.array(g))
-        t = t.take(pc.sort_indices(t, sort_keys=[("__g", "ascending"), *order], null_placement="at_end"))
-        g, i = t["__g"].to_numpy(), _codes(t["__g"], t[item])
+        t = t.append_column(nth, pa.array(g))  # nth is a free name
+        t = t.take(pc.sort_indices(t, sort_keys=[(nth, "ascending"), *order], null_placement="at_end"))
+        g, i = t[nth].to_numpy(), _codes(t[nth], t[item])
         _, first = np.unique(i, return_index=True)  # an item counts once, at its best row
         first.sort()
         g = g[first]
         start = np.concatenate([[True], g[1:] != g[:-1]])
         rank = np.arange(len(g)) - np.maximum.accumulate(np.where(start, np.arange(len(g)), 0))
-        return t.take(pa.array(first[rank < n])).drop_columns(["__g"])
+        return t.take(pa.array(first[rank < n])).drop_columns([nth])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -94,6 +94,7 @@ def top_n(df: DataFrame, group: list[str], item: str, order: list[tuple[str, str
         cond = cond & F.col(g).eqNullSafe(F.col(far[g]))
     survivors = local.join(bounds, cond, "left").filter(F.col(bound).isNull() | (F.col(key) <= F.col(bound))).select(*used, key)
     once = survivors.groupBy(*group, item).agg(F.min(key).alias(key), *(F.min_by(c, key).alias(c) for c in used if c not in group and c != item))
+    rank = fresh_name(used, rank)
     return once.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(key))).filter(F.col(rank) <= n).select(*used, rank)
 
 
