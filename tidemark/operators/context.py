@@ -184,3 +184,31 @@ def index_check(expected: DataFrame, postings: DataFrame) -> DataFrame:
     there = postings.select(*key).distinct().withColumn("_f", F.lit(1))
     return expected.select(*key).distinct().join(there, key, "left").groupBy("index_name").agg(
         F.count(F.lit(1)).alias("checked"), F.count("_f").alias("found"), F.count_if(F.col("_f").isNull()).alias("missing"))
+
+
+def query_audits(audits: DataFrame, start_ms: int, end_ms: int, limit: int | None = None) -> DataFrame:
+    """Audits ``tenant, query_id, request_time_ms, ...`` of a window, oldest first, at most ``limit`` per tenant."""
+    w = W.partitionBy("tenant").orderBy("request_time_ms", "query_id")
+    return audits.filter(F.col("request_time_ms").between(start_ms, end_ms)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limited(limit)).drop("_n")
+
+
+def query_compressions(rows: DataFrame, start_ms: int, end_ms: int, limit: int | None = None) -> DataFrame:
+    """Compressions that overlap a window, per node the latest source first: (source end desc, compressed desc, id)."""
+    w = W.partitionBy("tenant", "node_hash").orderBy(F.col("source_end_ms").desc(), F.col("compressed_time_ms").desc(), "id")
+    return overlapping(rows, start_ms, end_ms, "source_start_ms", "source_end_ms").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limited(limit)).drop("_n")
+
+
+def tree_first(edges: DataFrame, scores: DataFrame, start: DataFrame, max_depth: int = 6, per_parent: int = 3) -> DataFrame:
+    """Top-down selection: under every selected node its ``per_parent`` best children: ``root, node, depth, score``. ``edges`` is
+    ``parent, child``; ``scores`` ``node, score``; each level is one join, checkpointed."""
+    scored = cut(edges.select("parent", "child").join(scores, F.col("child") == F.col("node")).select("parent", "child", "score"))
+    w = W.partitionBy("parent").orderBy(F.col("score").desc(), "child")
+    best = cut(scored.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_parent).drop("_n"))
+    front, out = start.select("root", F.col("root").alias("at")), None
+    for depth in range(1, min(max_depth, MAX_DEPTH) + 1):
+        layer = cut(front.join(best, F.col("at") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"), "score"))
+        if layer.isEmpty():
+            break
+        out = layer if out is None else out.unionByName(layer)
+        front = layer.select("root", F.col("node").alias("at"))
+    return out if out is not None else start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("score")).filter(F.lit(False))

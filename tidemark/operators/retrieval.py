@@ -174,3 +174,25 @@ def admit_raw(events: DataFrame, compressed: DataFrame, n: int = 256) -> DataFra
 
 def statistics(rows: DataFrame, by: list[str], value: str, at: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("avg"), F.max(value).alias("max"), F.max_by(value, at).alias("latest"))
+
+
+def drop_similar(candidates: DataFrame, query: str, rank: str, tokens: str, most: int = 64, least: float = DUPLICATE) -> DataFrame:
+    """Candidates in rank order without those whose token set (ARRAY ``tokens``) is too close to one already taken (Jaccard of ``least`` or
+    more), at most ``most`` per query. The pass streams sorted rows and holds the taken token sets of the current query only."""
+    types = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, taken, started = None, [], False
+        for b in batches:
+            keep = []
+            for q, t in zip(b.column(query).to_pylist(), b.column(tokens).to_pylist()):
+                if not started or q != current:
+                    current, taken, started = q, [], True
+                mine = frozenset(t or ())
+                ok = len(taken) < most and not any(len(mine & x) >= least * max(len(mine | x), 1) for x in taken)
+                if ok:
+                    taken.append(mine)
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return repartition_for(candidates, query).sortWithinPartitions(query, rank).mapInArrow(run, types)

@@ -317,6 +317,7 @@ def content_segments(spark, d):
 
 @query("""WITH r AS (SELECT DISTINCT tenant, ref_type, updated_at_ms - updated_at_ms % 86400000 AS bucket_ms, ref_hash FROM context_ref),
   p AS (SELECT *, CAST((row_number() OVER (PARTITION BY tenant, ref_type, bucket_ms ORDER BY ref_hash) - 1) // 4 AS INT) AS part FROM r)
-  SELECT tenant, ref_type, bucket_ms, part, list_sort(list(ref_hash)) AS refs FROM p GROUP BY ALL""")
+  SELECT tenant, ref_type, bucket_ms, part, array_to_string(list_sort(list(ref_hash)), ',') AS refs FROM p GROUP BY ALL""")
 def content_compact_postings(spark, d):
-    return content.compact_postings(table(spark, d, "context_ref"), ["tenant", "ref_type"], "updated_at_ms", "ref_hash", 86_400_000, 4)
+    out = content.compact_postings(table(spark, d, "context_ref"), ["tenant", "ref_type"], "updated_at_ms", "ref_hash", 86_400_000, 4)
+    return out.withColumn("refs", F.array_join(F.col("refs").cast("array<string>"), ","))

@@ -69,12 +69,12 @@ def kv_exists(spark, d):
     return kv.exists(keys, kv.latest(_log(spark, d), ["key"], "deleted"))
 
 
-@query(f"""SELECT o.o_custkey AS req_id, array_agg(s.value ORDER BY pos) AS values FROM (
+@query(f"""SELECT o.o_custkey AS req_id, string_agg(coalesce(s.value, '?'), ',' ORDER BY pos) AS values FROM (
     SELECT c_custkey AS o_custkey, unnest([CAST(c_custkey AS VARCHAR), CAST(c_custkey + 1 AS VARCHAR), 'none']) AS k, unnest([0, 1, 2]) AS pos FROM customer) o LEFT JOIN ({STATE}) s ON s.key = o.k GROUP BY 1""")
 def kv_multi_get(spark, d):
     k = F.col("c_custkey")
     asked = table(spark, d, "customer").select(k.alias("req_id"), F.array(k.cast("string"), (k + 1).cast("string"), F.lit("none")).alias("keys"))
-    return kv.multi_get(asked, kv.latest(_log(spark, d), ["key"], "deleted"))
+    return kv.multi_get(asked, kv.latest(_log(spark, d), ["key"], "deleted")).select("req_id", F.array_join("values", ",", "?").alias("values"))
 
 
 @query(f"SELECT *, lag(value) OVER (PARTITION BY key ORDER BY seq) AS old FROM ({L})")
@@ -133,9 +133,9 @@ def set_card(spark, d):
     return _sets(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT key, list_sort(list(member)) AS members FROM ({SETS} WHERE l_partkey < 50) GROUP BY 1")
+@query(f"SELECT key, array_to_string(list_sort(list(member)), ',') AS members FROM ({SETS} WHERE l_partkey < 50) GROUP BY 1")
 def set_members(spark, d):
-    return kv.members(_sets(spark, d).filter("member < 50"))
+    return kv.members(_sets(spark, d).filter("member < 50")).select("key", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def _set_query(name: str, sql: str):
