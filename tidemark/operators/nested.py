@@ -110,13 +110,17 @@ class StructuralIndex:
 
     def fields(self, opening: int) -> dict[str, tuple[int, int]]:
         """Keys and value spans of an object; of a repeated key the last counts."""
-        return {json.loads(self.text(a, c)): (c + 1, b) for a, b, c in self.members(opening)}
+        return {_key(self.data[a:c].strip()): (c + 1, b) for a, b, c in self.members(opening)}
 
 
 _SPECIAL = np.zeros(256, bool)
 _SPECIAL[[ord(c) for c in '"\\{}[]:,']] = True
 
 
+def _key(raw: bytes) -> str:
+    return json.loads(raw) if b"\\" in raw else raw[1:-1].decode("utf-8", "surrogatepass")
+
+
 def _valid(payload: str) -> bool:
     try:
         return isinstance(json.loads(payload), dict)
