@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut
+
 HOUR_MS = 3_600_000
 LATENESS_MS = 21_600_000
 
@@ -61,40 +63,37 @@ def apply_batch(state: DataFrame, batch: DataFrame, value: str = "importance", s
     return state.unionByName(delta).groupBy("tenant", "hour_ms", "value").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
-def statistics(state: DataFrame) -> DataFrame:
-    """``tenant, hour_ms, n_events, mean_value, median_value, n_distinct, min_value, max_value`` of every period.
+def statistics(state: DataFrame, median: bool = True) -> DataFrame:
+    """``tenant, hour_ms, n_events, mean_value, n_distinct, min_value, max_value`` and, if asked for, ``median_value`` of every period.
 
-    The median is the lower middle element. It is found in two steps, so that no task sorts all values of a period:
-    cumulative counts over at most 65,536 slices of the value range, then over the distinct values of the one slice
-    that holds the middle.
+    All but the median is one aggregate over the multiset. The median is the lower middle element; it is found in two steps, so
+    that no task sorts all values of a period: cumulative counts over at most 65,536 slices of the value range, then over the
+    distinct values of the one slice that holds the middle. For it the state is written once and read twice.
     """
-    known = state.filter(F.col("value").isNotNull())
-    known = known.withColumn("slice", _slice(F.col("value")))
-    coarse = known.groupBy("tenant", "hour_ms", "slice").agg(
-        F.sum("n").alias("n"), F.sum(F.col("value").cast("double") * F.col("n")).alias("total"), F.count(F.lit(1)).alias("distinct_"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"))
     period = ["tenant", "hour_ms"]
-    up_to = F.sum("n").over(W.partitionBy(*period).orderBy("slice"))
-    everything = W.partitionBy(*period)
+    if median:
+        state = cut(state)
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    stats = state.groupBy(*period).agg(
+        F.sum("n").alias("n_events"), (F.sum(F.col("value").cast("double") * F.col("n")) / F.sum(known)).alias("mean_value"),
+        F.count("value").alias("n_distinct"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    if not median:
+        return stats
+    sliced = state.filter(F.col("value").isNotNull()).withColumn("slice", _slice(F.col("value")))
+    coarse = sliced.groupBy(*period, "slice").agg(F.sum("n").alias("n"))
+    target = F.floor((F.sum("n").over(W.partitionBy(*period)) + 1) / 2)
     middle = (
-        coarse.withColumn("upto", up_to).withColumn("all_", F.sum("n").over(everything))
-        .withColumn("target", F.floor((F.col("all_") + 1) / 2))
+        coarse.withColumn("upto", F.sum("n").over(W.partitionBy(*period).orderBy("slice"))).withColumn("target", target)
         .filter((F.col("upto") >= F.col("target")) & (F.col("upto") - F.col("n") < F.col("target")))
         .select(*period, "slice", (F.col("target") - (F.col("upto") - F.col("n"))).alias("left_"))
     )
     fine = F.sum("n").over(W.partitionBy(*period, "slice").orderBy("value"))
-    median = (
-        known.join(middle, [*period, "slice"]).withColumn("upto", fine)
+    medians = (
+        sliced.join(middle, [*period, "slice"]).withColumn("upto", fine)
         .filter((F.col("upto") >= F.col("left_")) & (F.col("upto") - F.col("n") < F.col("left_")))
         .select(*period, F.col("value").alias("median_value"))
     )
-    stats = coarse.groupBy(*period).agg(
-        (F.sum("total") / F.sum("n")).alias("mean_value"), F.sum("distinct_").alias("n_distinct"), F.min("lo").alias("min_value"), F.max("hi").alias("max_value"))
-    counts = state.groupBy(*period).agg(F.sum("n").alias("n_events"))
-    return (
-        counts.join(stats, period, "left").join(median, period, "left")
-        .select(*period, "n_events", "mean_value", "median_value", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "min_value", "max_value")
-    )
+    return stats.join(medians, period, "left")
 
 
 def _slice(value: Column) -> Column:

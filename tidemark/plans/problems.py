@@ -40,7 +40,7 @@ def _p6_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and mean importance per tenant and UTC hour, without the rows set aside."""
-    stats = late_events.statistics(_p6_state(spark, sf_dir))
+    stats = late_events.statistics(_p6_state(spark, sf_dir), median=False)
     return stats.select("tenant", "hour_ms", "n_events", F.round("mean_value", 6).alias("mean_importance"))
 
 

@@ -27,12 +27,17 @@ def query(sql: str | None = None):
     return register
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    return schemas.points(table(spark, d, "events"))
+def _events(spark: SparkSession, d: str, bounded: bool = False) -> DataFrame:
+    events = table(spark, d, "events")
+    return schemas.within(events, START, END) if bounded else events
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return schemas.sequence_rows(table(spark, d, "events"))
+def _points(spark: SparkSession, d: str, bounded: bool = False) -> DataFrame:
+    return schemas.points(_events(spark, d, bounded))
+
+
+def _rows(spark: SparkSession, d: str, bounded: bool = False) -> DataFrame:
+    return schemas.sequence_rows(_events(spark, d, bounded))
 
 
 P = "SELECT CAST(user_id AS VARCHAR) AS key, (epoch_us(ts) // 1000) AS ts_ms, CAST(floor(value) AS BIGINT) AS v, event_id AS seq, event_type, user_id, ts FROM events"
@@ -45,22 +50,22 @@ IN = f"ts_ms BETWEEN {START} AND {END}"
 @query(f"""SELECT key, CAST(sum(v) AS BIGINT) AS sum, CAST(sum(v) // count(v) AS BIGINT) AS avg, min(v) AS min, max(v) AS max, arg_min(v, ts_ms) AS first,
   arg_max(v, ts_ms) AS last, count(*) AS count FROM ({P}) WHERE {IN} GROUP BY key""")
 def feature_agg_all(spark, d):
-    return series.aggregates(_points(spark, d), START, END)
+    return series.aggregates(_points(spark, d, True), START, END)
 
 
 @query(f"""SELECT key, CAST(sum(v) AS BIGINT) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms) AS n FROM ({P}) WHERE {IN}) WHERE n <= 5 GROUP BY key""")
 def feature_agg_first_five(spark, d):
-    return series.aggregate(_points(spark, d), START, END, "sum", 5)
+    return series.aggregate(_points(spark, d, True), START, END, "sum", 5)
 
 
 @query(f"SELECT key, ts_ms, CAST(v AS VARCHAR) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms) AS n FROM ({P}) WHERE {IN}) WHERE n <= 10")
 def feature_query(spark, d):
-    return series.window(_points(spark, d), START, END, 10)
+    return series.window(_points(spark, d, True), START, END, 10)
 
 
 @query(f"SELECT key, ts_ms, CAST(v AS VARCHAR) AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms) AS n FROM ({P}) WHERE {IN}) WHERE n <= 20 AND v > 100")
 def feature_query_filtered(spark, d):
-    return series.window_filtered(_points(spark, d), START, END, 20, series.numeric(F.col("value")) > 100)
+    return series.window_filtered(_points(spark, d, True), START, END, 20, series.numeric(F.col("value")) > 100)
 
 
 def _hourly(spark, d):
@@ -112,12 +117,12 @@ def feature_delete(spark, d):
 
 @query(f"SELECT * FROM ({S}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ms, gid) <= 1000000 AND {IN}")
 def sequence_add(spark, d):
-    return sequences.query(_rows(spark, d), START, END, 1_000_000)
+    return sequences.query(_rows(spark, d, True), START, END, 1_000_000)
 
 
 @query(f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms, gid) AS n FROM ({S}) WHERE {IN}) WHERE n <= 15 AND action_type = 2 AND duration > 30")
 def sequence_query(spark, d):
-    return sequences.query(_rows(spark, d), START, END, 15, sequences.parse_filters(["action_type = 1", "duration > 30", "action_type = 2"]))
+    return sequences.query(_rows(spark, d, True), START, END, 15, sequences.parse_filters(["action_type = 1", "duration > 30", "action_type = 2"]))
 
 
 @query(f"""WITH specs AS (SELECT c_custkey AS spec_id, CAST(c_custkey AS VARCHAR) AS key, {START} + (c_custkey % 5) * {DAY} AS s, {START} + (c_custkey % 5 + 4) * {DAY} AS e FROM customer)
@@ -130,8 +135,8 @@ def sequence_batch_query(spark, d):
     return sequences.batch_query(_rows(spark, d), specs)
 
 
-def _increments(spark, d):
-    e = table(spark, d, "events")
+def _increments(spark, d, bounded=False):
+    e = _events(spark, d, bounded)
     return e.select(F.lit("h").alias("family"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), schemas.epoch_ms("ts").alias("ts_ms"), F.floor("value").cast("bigint").alias("amount"), F.col("event_id").alias("seq"))
 
 
@@ -152,7 +157,7 @@ def control_increment_precision(spark, d):
 
 @query(f"SELECT family, key, CAST(sum(amount) AS BIGINT) AS value FROM ({C}) WHERE {IN} GROUP BY ALL")
 def control_count(spark, d):
-    return counters.read(counters.buckets(_increments(spark, d)), START, END)
+    return counters.read(counters.buckets(_increments(spark, d, True)), START, END)
 
 
 @query(f"""SELECT family, key, count(*) AS events, min(amount) AS min, max(amount) AS max, arg_min(amount, bucket_ms) AS first, arg_max(amount, bucket_ms) AS last FROM ({B}) WHERE {BIN} GROUP BY ALL""")

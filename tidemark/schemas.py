@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,15 @@ COMMAND = "seq bigint, now_ms bigint, kind string, key string, field string, val
 
 
 def epoch_ms(ts: str) -> Column:
-    """Milliseconds of a zone-less timestamp read as UTC, whatever the session's time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`) div 1000")
+    """Milliseconds of a zone-less timestamp read as UTC, built from its fields, so that no session time zone takes part."""
+    days = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.expr(f"extract(second from `{ts}`) * 1000")).cast("bigint")
+
+
+def within(events: DataFrame, start_ms: int, end_ms: int, ts: str = "ts") -> DataFrame:
+    """``events`` cut to [start, end] on the stored timestamp itself, a filter the parquet scan can use to skip row groups."""
+    stamp = lambda ms: f"timestamp_ntz'{datetime.fromtimestamp(ms / 1000, timezone.utc):%Y-%m-%d %H:%M:%S.%f}'"
+    return events.filter(f"`{ts}` >= {stamp(start_ms)} and `{ts}` < {stamp(end_ms + 1)}")
 
 
 def points(events: DataFrame) -> DataFrame:
