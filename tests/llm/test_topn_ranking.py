@@ -91,3 +91,12 @@ def test_always_first(spark):
     out = ranking.always_first(ranking.rank_walk(df, "q", "r", list("abcd")), list("abcd"))
     assert [(r["q"], r["r"]) for r in out.collect()] == [(1, 10)]
     assert ranking.rank_walk(df.limit(0), "q", "r", list("abcd")).count() == 0
+
+
+def test_always_first_with_a_long_tie_under_one_other_ref(spark):
+    rnd = random.Random(3)
+    rows = [(1, i, rnd.random(), rnd.random(), rnd.random(), 0.0) for i in range(98)] + [(1, 98, 9.0, 9.0, 9.0, 0.0), (1, 99, 0.5, 0.5, 0.5, 1.0)]
+    rows += [(2, r, a, b, c, None if d == 0 else d) for _, r, a, b, c, d in rows]
+    ranked = ranking.rank_walk(spark.createDataFrame(rows, "q int, r int, a double, b double, c double, d double"), "q", "r", list("abcd")).cache()
+    assert {(r["q"], r["r"]) for r in ranked.filter("place = 1").collect()} == {(1, 99), (2, 99)}
+    assert sorted((r["q"], r["r"]) for r in ranking.always_first(ranked, list("abcd")).collect()) == [(1, 98), (2, 98)]

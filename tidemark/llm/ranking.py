@@ -180,10 +180,13 @@ def _walk_large(df: DataFrame, group: str, item: str, scores: list[str], damping
 
 
 def always_first(ranked: DataFrame, scores: list[str]) -> DataFrame:
-    """Of a :func:`rank_walk` result, the items that come first whatever the scores' weights: placed first by the walk, alone at
-    the top of all scores but at most one, and with at most one item higher in each."""
+    """Of a :func:`rank_walk` result, the items that come first whatever the scores' weights: alone at the top of all scores but
+    at most one, and with at most one item higher in each.
+
+    Read from the counts alone; the walk may place such an item lower, where one item stands above a long tie in the score left.
+    With three scores or more at most one item of a group fits; with fewer it must be alone at the top of all."""
     alone = sum(((F.col(f"{s}_higher") == 0) & (F.col(f"{s}_tied") == 1)).cast("int") for s in scores)
     near = F.lit(True)
     for s in scores:
         near = near & (F.col(f"{s}_higher") <= 1)
-    return ranked.filter((F.col("place") == 1) & (alone >= len(scores) - 1) & near)
+    return ranked.filter((alone >= (len(scores) - 1 if len(scores) > 2 else len(scores))) & near)
