@@ -106,3 +106,28 @@ def test_memory_facade(spark):
     assert m.forget("s").get_all().count() == 0
     with pytest.raises(ValueError):
         m.forget("")
+
+
+def test_similar_candidates_beyond_64_match_brute_force(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = []
+    for q, n in ((1, 700), (2, 90), (None, 150)):
+        base = [[f"w{rnd.randrange(60)}" for _ in range(rnd.choice([1, 3, 7, 13, 20, 27, 40]))] for _ in range(n // 3)]
+        for r in rnd.sample(range(n), n):
+            t = list(rnd.choice(base))
+            for _ in range(rnd.randrange(3)):
+                t[rnd.randrange(len(t))] = f"w{rnd.randrange(60)}"
+            rows.append((q, r, rnd.choice([None, []]) if rnd.random() < 0.02 else t + t[: rnd.randrange(2)]))
+    df = spark.createDataFrame(rows, "q int, r int, t array<string>").repartition(5)
+    for least, settle in ((0.85, 1_000_000), (0.85, 5), (0.6, 1_000_000), (1.0, 1_000_000)):
+        monkeypatch.setattr(retrieval, "SETTLE", settle)
+        want, taken = set(), {}
+        for q, r, t in sorted(rows, key=lambda x: (x[0] or 0, x[1])):
+            s = set(t or ())
+            if not any(len(s & x) >= least * max(len(s | x), 1) for x in taken.setdefault(q, [])):
+                taken[q].append(s)
+                want.add((q, r))
+        assert min(sum(k[0] == q for k in want) for q in (1, None)) > 64
+        for large in (100, 100_000):
+            got = retrieval.drop_similar(df, "q", "r", "t", least, large).collect()
+            assert len(got) == len(want) and {(x["q"], x["r"]) for x in got} == want

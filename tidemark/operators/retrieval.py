@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import repartition_for
+from tidemark.runtime import cut, repartition_for
 
 # fixed values of the score formulas
 W_DENSE, W_SPARSE, W_NODE = 0.55, 0.35, 0.10
 W_TIME, W_BUSINESS = 0.18, 0.22
 TOLERANCE_MS, HALF_LIFE_MS = 86_400_000, 604_800_000
 DUPLICATE = 0.85
+# for similar pairs: tokens whose counts set the order, longest set with signatures of three, pairs settled in one task
+COMMON, SHORT, SETTLE = 5_000, 24, 1_000_000
 CROSS_SESSION_RATIO = {"fact": 0.12, "multi_hop": 0.20, "broad_exploration": 0.30, "current_state": 0.15}
 STOPWORDS = frozenset("a an and are as at be but by did do does for from had has have how i in is it me my of on or our that the their they this to was we were what when where which who why will with you your".split())
 
@@ -176,9 +181,15 @@ def statistics(rows: DataFrame, by: list[str], value: str, at: str) -> DataFrame
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("avg"), F.max(value).alias("max"), F.max_by(value, at).alias("latest"))
 
 
-def drop_similar(candidates: DataFrame, query: str, rank: str, tokens: str, most: int = 64, least: float = DUPLICATE) -> DataFrame:
+def drop_similar(candidates: DataFrame, query: str, rank: str, tokens: str, least: float = DUPLICATE, large: int = 512) -> DataFrame:
     """Candidates in rank order without those whose token set (ARRAY ``tokens``) is too close to one already taken (Jaccard of ``least`` or
-    more), at most ``most`` per query. The pass streams sorted rows and holds the taken token sets of the current query only."""
+    more, above 0 and up to 1). Nothing else is left out; empty and null sets resemble nothing. Of equal ranks any may come first.
+
+    Queries of up to ``large`` candidates are passed over row by row, comparing with the token sets taken so far; in larger ones similar
+    pairs are found by a join on signatures of rare tokens, so that no task sees a whole query.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     types = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +200,85 @@ def drop_similar(candidates: DataFrame, query: str, rank: str, tokens: str, most
                 if not started or q != current:
                     current, taken, started = q, [], True
                 mine = frozenset(t or ())
-                ok = len(taken) < most and not any(len(mine & x) >= least * max(len(mine | x), 1) for x in taken)
-                if ok:
+                ok = not any(len(mine & x) >= least * max(len(mine | x), 1) for x in taken)
+                if ok and mine:
                     taken.append(mine)
                 keep.append(ok)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return repartition_for(candidates, query).sortWithinPartitions(query, rank).mapInArrow(run, types)
+    counts = candidates.groupBy(F.col(query).alias("_big")).count().filter(F.col("count") > large).select("_big")
+    big = F.broadcast(counts)  # at most a row per ``large`` candidates
+    same = F.col(query).eqNullSafe(F.col("_big"))
+    small = repartition_for(candidates.join(big, same, "left_anti"), query).sortWithinPartitions(query, rank).mapInArrow(run, types)
+    return small.unionByName(_drop_similar_large(candidates.join(big, same, "left_semi"), query, rank, tokens, least))
+
+
+def _signatures(common: dict[str, int], least: float):
+    """``sig, n, id`` rows of each set: any two different sets of Jaccard ``least`` or more share one.
+
+    Both hold ceil(least * n) tokens of either, so in one fixed order of all tokens, rare ones first, they share k tokens within the first
+    n - ceil(least * n) + k of each. k is 3 where the smaller set has up to ``SHORT`` tokens, else 1, as the number of threes grows fast;
+    a set too small to share 3 has no other set that close if ``least`` is above 2/3."""
+    many = least > 2 / 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs, sizes, ids = [], [], []
+            for i, q, t in zip(b.column("id").to_pylist(), b.column("q").to_pylist(), b.column("set").to_pylist()):
+                n = len(t)
+                order = [zlib.crc32(x.encode()) for _, x in sorted((common.get(x, 0), x) for x in map(repr, t))]
+                spare = n - math.ceil(least * n - 1e-9)
+                mine: set[int] = set()
+                if many and least * n <= SHORT + 1e-9:
+                    mine.update(hash((q, *c)) for c in combinations(order[: spare + 3], 3))
+                if not many or n > SHORT:
+                    mine.update(hash((q, x)) for x in order[: spare + 1])
+                sigs += mine
+                sizes += [n] * len(mine)
+                ids += [i] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64())], names=["sig", "n", "id"])
+
+    return run
+
+
+def _drop_similar_large(candidates: DataFrame, query: str, rank: str, tokens: str, least: float) -> DataFrame:
+    distinct = F.array_sort(F.array_distinct(tokens))
+    filled = F.coalesce(F.size(tokens) > 0, F.lit(False))
+    # equal sets: the first one; what drops it would drop the others too
+    first = candidates.filter(filled).groupBy(F.col(query).alias("_q"), distinct.alias("set")).agg(F.min_by(F.struct(*candidates.columns), F.struct(rank)).alias("r"))
+    sets = cut(first.select("set", "r", F.xxhash64("_q").alias("q"), F.monotonically_increasing_id().alias("id")))
+    common = sets.select(F.explode("set").alias("t")).groupBy("t").count().orderBy(F.col("count").desc(), "t").limit(COMMON).collect()
+    sigs = sets.select("id", "q", "set").mapInArrow(_signatures({repr(r["t"]): r["count"] for r in common}, least), "sig bigint, n int, id bigint")
+    a, b = (sigs.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "id"))) for x in "ab")
+    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = a.join(b, "sig").filter(near).select("id_a", "id_b").distinct()
+    a, b = (sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "set")), F.col("r")[query].alias(f"q_{x}"), F.struct(F.col("r")[rank].alias("rank"), "id").alias(f"at_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    alike = F.col("q_a").eqNullSafe(F.col("q_b")) & (shared >= F.lit(least) * (F.size("set_a") + F.size("set_b") - shared))
+    found = pairs.join(a, "id_a").join(b, "id_b").filter(alike)
+    edges = cut(found.select(F.least("at_a", "at_b").alias("first"), F.greatest("at_a", "at_b").alias("then")).select(
+        F.col("first.id").alias("first"), F.col("then").alias("at"), F.col("then.id").alias("then")))
+    gone = _later_of_pairs(edges)
+    kept = sets.join(gone, "id", "left_anti").select(*(F.col("r")[c].alias(c) for c in candidates.columns))
+    return kept.unionByName(candidates.filter(~filled))
+
+
+def _later_of_pairs(edges: DataFrame) -> DataFrame:
+    """``id`` of the rows a pass in order leaves out: those paired (``first``, ``then``) with an earlier one that is itself taken.
+
+    While the pairs are many, rows that nothing precedes are settled at once, with what they drop; the last ``SETTLE`` are passed over in order."""
+    gone = edges.select(F.col("then").alias("id")).limit(0)
+    while edges.count() > SETTLE:
+        free = edges.join(edges.select(F.col("then").alias("first")).distinct(), "first", "left_anti")
+        now = cut(free.select(F.col("then").alias("id")).distinct())
+        gone = gone.unionByName(now)
+        edges = edges.join(now.withColumnRenamed("id", "first"), "first", "left_anti").join(now.withColumnRenamed("id", "then"), "then", "left_anti")
+        edges = cut(edges.select("first", "at", "then"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped: set[int] = set()
+        for b in batches:
+            dropped.update(then for first, then in zip(b.column("first").to_pylist(), b.column("then").to_pylist()) if first not in dropped)
+        yield pa.RecordBatch.from_arrays([pa.array(list(dropped), pa.int64())], names=["id"])
+
+    return gone.unionByName(edges.repartition(1).sortWithinPartitions("at").select("first", "then").mapInArrow(run, "id bigint"))
