@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import glob
-from tidemark.runtime import repartition_for
+from tidemark.runtime import cut, repartition_for
 
 
 def latest(log: DataFrame, keys: list[str], deleted: str | None = None, seq: str = "seq") -> DataFrame:
@@ -104,10 +104,26 @@ def hash_map(state: DataFrame) -> DataFrame:
 
 
 def members(state: DataFrame) -> DataFrame:
-    """``key, members`` sorted."""
+    """``key, members`` sorted. Each whole set is one array in one task; :func:`member_pages` has no such bound."""
     return state.groupBy("key").agg(F.array_sort(F.collect_set("member")).alias("members"))
 
 
+def member_pages(state: DataFrame, size: int = 1_000) -> DataFrame:
+    """``key, page, members``: all members of each set, once each and sorted, in pages (from 0) of ``size``, the last one shorter.
+
+    Members are range-partitioned, and a slice's own positions are moved by the counts of the slices before it, so a set is
+    spread over as many tasks as it needs. Null members are left out, as :func:`members` does."""
+    slices = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = state.filter("member is not null").select("key", "member").distinct()
+    placed = cut(once.repartitionByRange(slices, "key", "member").withColumn("_slice", F.spark_partition_id()))
+    counts = placed.groupBy(F.col("key").alias("_k"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.row_number().over(W.partitionBy("key", "_slice").orderBy("member")) - 1
+    at = placed.withColumn("_inner", inner).join(before, F.col("key").eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")))
+    paged = at.select("key", F.floor((F.col("_inner") + F.col("_before")) / size).alias("page"), "member")
+    return paged.groupBy("key", "page").agg(F.array_sort(F.collect_list("member")).alias("members"))
+
+
 def set_algebra(sets: list[DataFrame], op: str) -> DataFrame:
     """Union, intersection or difference (folded from the left) of one-column sets, as joins on the members."""
     step = {"union": lambda a, b: a.union(b).distinct(), "inter": lambda a, b: a.intersect(b), "diff": lambda a, b: a.subtract(b)}[op]

@@ -138,6 +138,13 @@ def set_members(spark, d):
     return kv.members(_sets(spark, d).filter("member < 50")).select("key", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
+@query(f"""SELECT key, page, array_to_string(list_sort(list(member)), ',') AS members FROM (
+    SELECT key, member, (row_number() OVER (PARTITION BY key ORDER BY member) - 1) // 1000 AS page FROM ({SETS})) GROUP BY 1, 2""")
+def set_member_pages(spark, d):
+    """All members of every set; ``set_members`` shows those below 50 only, as its SQL does."""
+    return kv.member_pages(_sets(spark, d)).select("key", "page", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
 def _set_query(name: str, sql: str):
     def run(spark, d):
         s = _sets(spark, d)
