@@ -34,9 +34,10 @@ def due_sessions(events: DataFrame, session: str, at: str, now_ms: int, threshol
     return g.withColumn("reason", reason).filter("reason is not null").drop("_last")
 
 
-def pending_embeddings(nodes: DataFrame, embedded: DataFrame, key: list[str], limit: int) -> DataFrame:
-    """The next nodes without an embedding, in key order."""
-    return nodes.join(embedded.select(*key).distinct(), key, "left_anti").orderBy(*key).limit(limit)
+def pending_embeddings(nodes: DataFrame, embedded: DataFrame, key: list[str], limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """All nodes without an embedding, or the next ``limit`` of them for one pass, in the order of ``order`` (the key if None)."""
+    pending = nodes.join(embedded.select(*key).distinct(), key, "left_anti").orderBy(*(order or key))
+    return pending if limit is None else pending.limit(limit)
 
 
 def refresh_summaries(dirty: DataFrame, records: DataFrame, nodes: int, lines: int, words: int = 18) -> DataFrame:

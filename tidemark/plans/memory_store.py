@@ -62,8 +62,15 @@ def session_commit(spark, d):
 
 @query("SELECT tenant, node_hash FROM context_node WHERE node_hash NOT IN (SELECT node_hash FROM context_event WHERE node_hash IS NOT NULL) ORDER BY tenant, node_hash LIMIT 100")
 def embedding_drain(spark, d):
+    """The first pass of the drainer, 100 nodes; ``embedding_pending`` gives all of them."""
     done = table(spark, d, "context_event").select("node_hash")
-    return memory.pending_embeddings(table(spark, d, "context_node").select("tenant", "node_hash"), done, ["node_hash"], 2**31 - 1).orderBy("tenant", "node_hash").limit(100)
+    return memory.pending_embeddings(table(spark, d, "context_node").select("tenant", "node_hash"), done, ["node_hash"], 100, ["tenant", "node_hash"])
+
+
+@query("SELECT tenant, node_hash FROM context_node WHERE node_hash NOT IN (SELECT node_hash FROM context_event WHERE node_hash IS NOT NULL)")
+def embedding_pending(spark, d):
+    done = table(spark, d, "context_event").select("node_hash")
+    return memory.pending_embeddings(table(spark, d, "context_node").select("tenant", "node_hash"), done, ["node_hash"], order=["tenant", "node_hash"])
 
 
 @query(rf"""WITH d AS (SELECT tenant, node_hash, min(ts_ms) AS first_ms FROM ({E}) GROUP BY ALL), t AS (SELECT tenant, node_hash FROM d QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY first_ms, node_hash) <= 10),
