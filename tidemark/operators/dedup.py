@@ -2,13 +2,15 @@
 
 Every message is named by a producer and a number. Rows are range-partitioned and sorted by
 (producer, number, preference), so a producer, or one message with a huge number of copies, is
-spread over as many partitions as it needs. Each partition sweeps its rows once and keeps the
-set of seen numbers of the current producer as disjoint ranges: a number inside a seen range is a
-copy, any other number is accepted and merged into the ranges. Because rows come sorted, the only
-range that can cover the next number is the last one, so the live state is one range per partition;
-the closed ranges are the result of :func:`seen_ranges`. A message whose copies straddle a partition
-edge is accepted once per partition; those first-of-partition rows, at most one per partition, are
-settled afterwards.
+spread over as many partitions as it needs. Each partition sweeps its rows once and compares each
+with the one before it: a row of the same message is a copy, any other is accepted. In sorted order
+the only seen number that can equal the next one is the last, so :func:`mark_copies` keeps that
+number and no range. A message whose copies straddle a partition edge is accepted once per
+partition; those first-of-partition rows, at most one per partition, are settled afterwards.
+
+Seen numbers as disjoint, merged ranges matter where batches come one after another and the rows
+seen before are not at hand: :func:`seen_ranges` builds them and :func:`accept_batch` holds a batch
+against them. No registered query goes that way.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def _sweep(producer: str, number: str, flag: str, edge: str, part: str):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        last: tuple[int, int] | None = None  # end of the open range: (producer, number)
+        last: tuple[int, int] | None = None  # (producer, number) of the row before
         for batch in batches:
             n = batch.num_rows
             if not n:
