@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidemark.llm import mixing, reading
+from tidemark.llm import mixing, queries, reading
 
 
 def corpus(seed, n=240):
@@ -69,3 +69,14 @@ def test_mix_reaches_shares_within_caps(spark):
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
     forced = {r["source"]: r for r in mixing.mix(docs, targets, total=10**9)[1].collect()}
     assert forced["big"]["times"] == pytest.approx(1) and forced["small_one"]["times"] == pytest.approx(3)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}"), reason="no public vocabulary here")
+def test_the_larger_mix_clamps_a_source_and_spreads_the_rest(spark, tmp_path):
+    rows = [(i, "one two three four", "abc"[i % 3]) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 5), ("c", 0.2, 5)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_target.parquet")
+    times = {r["source"]: r["times"] for r in queries.QUERIES["p9_shares_beyond"](spark, str(tmp_path)).collect()}
+    assert times == pytest.approx({"a": 1.0, "b": 0.9, "c": 0.6}, abs=0.01)
+    used = queries.QUERIES["p9_mix_beyond"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in used if r["source"] == "a"} == set(range(0, 3000, 3)) and {r["repeats"] for r in used} == {1}

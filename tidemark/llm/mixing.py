@@ -73,22 +73,24 @@ def largest_exact(weights: dict[str, float], caps: dict[str, float]) -> float:
     return min((caps[k] / w for k, w in there.items()), default=0.0) * sum(there.values())
 
 
-def plan(sizes: dict[str, float], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, dict]:
+def plan(sizes: dict[str, float], targets: list[tuple[str, float, int]], total: float | None = None, stretch: float = 1.0) -> dict[str, dict]:
     """Per source: target share, amount of tokens, repetitions. ``total`` None takes :func:`largest_exact`, where every source present
-    reaches its share (shares of sources without documents are spread over the rest)."""
+    reaches its share (shares of sources without documents are spread over the rest), times ``stretch``; above 1, the scarcest sources
+    stay at their caps and the others fill up."""
     weights = {s: w or 0.0 for s, w, _ in targets}
     caps = {s: sizes.get(s, 0) * max(m or 0, 0) for s, _, m in targets}
-    amounts = water_fill(largest_exact(weights, caps) if total is None else total, weights, caps)
+    amounts = water_fill(largest_exact(weights, caps) * stretch if total is None else total, weights, caps)
     return {s: {"target": weights[s], "amount": amounts[s], "times": amounts[s] / sizes[s] if sizes.get(s) else 0.0} for s in weights}
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, total: float | None = None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, total: float | None = None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, stretch: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): ``doc_id, source, tokens, repeats`` of every document used, and ``source, target_share, available_tokens, used_tokens,
     actual_share, times`` of every target source.
 
     ``targets`` has source, target_share and max_repeats, one row per source (it is collected: the list of sources to mix is small by nature,
     and more than 100,000 raise an error). Documents of null or unlisted sources are not used; sources are compared in one spelling;
     rows repeated for an id are separate documents; empty texts have no tokens and are not used. A null share or cap counts as 0.
+    ``total`` and ``stretch`` are those of :func:`plan`.
     """
     spark = docs.sparkSession
     rows = targets.groupBy(folded(F.col("source")).alias("source")).agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("m")).filter("source is not null").limit(100_001).collect()
@@ -100,7 +102,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str
                   .withColumn("u", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("slice", F.shiftrightunsigned("u", 48)))
     slices = cut(counted.groupBy("source", "slice").agg(F.sum("tokens").alias("t")))
     sizes = {r["source"]: float(r["t"]) for r in slices.groupBy("source").agg(F.sum("t").alias("t")).collect()}  # a row per target source
-    planned = plan(sizes, [(r["source"], r["w"], r["m"]) for r in rows], total)
+    planned = plan(sizes, [(r["source"], r["w"], r["m"]) for r in rows], total, stretch)
     whole = {s: min(int(p["times"] + 1e-9), 2**31 - 1) for s, p in planned.items()}
     facts = F.broadcast(spark.createDataFrame(
         [(s, whole[s], max(0.0, (p["times"] - whole[s]) * sizes.get(s, 0.0))) for s, p in planned.items()], "source string, whole int, extra double"))

@@ -72,6 +72,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))[1]
 
 
+#: How far the larger mix goes beyond the largest one with exact shares.
+BEYOND = 1.25
+
+
+def p9_mix_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix a quarter larger than ``p9_mix``: the scarcest sources are held at their caps and the others make up for them."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"), stretch=BEYOND)[0]
+
+
+def p9_shares_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of that larger mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"), stretch=BEYOND)[1]
+
+
 def _p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"))
 
@@ -86,7 +100,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p10(spark, sf_dir).groupBy(F.round("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found, p9_mix, p9_shares, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found, p9_mix, p9_shares, p9_mix_beyond, p9_shares_beyond, p10_found, p10_profile)}
 
 _ALIASES = "CASE " + " ".join(
     f"WHEN r IN ({', '.join(repr(x) for x in names)}) THEN '{role}'" for role, names in conversations.ROLE_ALIASES.items()) + " END"
