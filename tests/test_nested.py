@@ -81,3 +81,33 @@ def test_long_lists_and_clashing_columns(spark):
     assert nested.children(df).count() == 80_001
     assert nested.children(df.limit(0)).count() == 0
     assert nested.child_table(df, "ref").filter("seq is null").count() == 1
+
+
+def test_the_scan_without_recursion_agrees_with_the_parser():
+    rnd = random.Random(6)
+    seeds = ['{"a": [1, -2.5e+3, true, null, {"b": {}}], "c\\u00e9\\"": "x\\\\", "d": []}', "[]", ' [[], {"a": NaN}, -Infinity] ', '"s"', "0", "", "{}", '{"a":1,}', "[1,]", "[,]", '{"a"}', "[1 2]", "]", "{}}", '{"a":1 "b":2}', "[1}", '{"a"::1}', "01", "1.", "\u00a01", '"\t"', '{1:2}', '{,}', "1,", ",", ":", '{"a":}', '["a":1]']
+    texts = list(seeds)
+    for _ in range(20_000):
+        t = list(rnd.choice(seeds))
+        for _ in range(rnd.randrange(1, 4)):
+            k = rnd.randrange(len(t) + 1)
+            t[k : k + rnd.randrange(2)] = rnd.choice(['{', '}', '[', ']', ',', ':', '"', "\\", "1", "-", " ", "e", "."])
+        texts.append("".join(t))
+    for t in texts:
+        try:
+            json.loads(t)
+            want = True
+        except ValueError:
+            want = False
+        assert nested._whole(t) == want, t
+
+
+def test_deep_payloads_have_their_children(spark):
+    deep = 30_000
+    part = '{"k":[' * deep + "1, 2" + "]}" * deep
+    rest = '"envelope": {"messages": [{"attachments": [1, ' + part + "]}, 2]}"
+    refs = json.dumps('[{"matched_index_terms": ["t", ' + part + "]}]")
+    rows = [(1, '{"other": ' + part + ", " + rest + "}"), (2, '{"other": ' + part + "], " + rest + "}"), (3, "[" + part + "]"), (4, '{"selected_refs": ' + refs + "}"), (5, '{"selected_refs": ' + refs.replace("1, 2", "1, ", 1) + ", " + rest + "}")]
+    got = sorted((r["seq"], r["child"], r["child_key"]) for r in nested.children(spark.createDataFrame(rows, "seq bigint, payload string")).select("seq", "child", "child_key").collect())
+    envelope = [("attachment", "0/0"), ("attachment", "0/1"), ("message", "0"), ("message", "1")]
+    assert got == [(1, *x) for x in envelope] + [(4, "ref", "0"), (4, "term", "0/0"), (4, "term", "0/1")] + [(5, *x) for x in envelope]

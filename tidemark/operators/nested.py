@@ -11,6 +11,7 @@ of the same procedure.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -74,8 +75,10 @@ class StructuralIndex:
         self.sep = {}
         seps = np.flatnonzero(step == 0)
         sep_depth = self.depth[seps]
-        for d in np.unique(sep_depth):
-            self.sep[int(d)] = seps[sep_depth == d]
+        by_depth = np.argsort(sep_depth, kind="stable")
+        depths, first = np.unique(sep_depth[by_depth], return_index=True)
+        for d, v in zip(depths, np.split(seps[by_depth], first[1:])):
+            self.sep[int(d)] = v
         self._freeze()
 
     def _freeze(self) -> None:
@@ -121,10 +124,44 @@ def _key(raw: bytes) -> str:
     return json.loads(raw) if b"\\" in raw else raw[1:-1].decode("utf-8", "surrogatepass")
 
 
+_TOKEN = re.compile(r"""[ \t\n\r]*+(?:([{}\[\],:])|("[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity))""")
+
+
+def _whole(text: str) -> bool:
+    """Whether the text is one JSON value, by a scan that keeps the open brackets in a list: for nesting too deep for the parser."""
+    at, end, inside = 0, len(text.rstrip(" \t\n\r")), []
+    value, key, close = True, False, False  # what may come next: a value, a key, the end of a container just opened
+    after = ""  # the separator that may come next: a colon after a key, else what divides or closes
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if not m:
+            return False
+        at = m.end()
+        mark, string, _ = m.groups()
+        if mark in ("{", "[") and value:
+            inside.append(mark)
+            value, key, close, after = mark == "[", mark == "{", True, ""
+        elif mark in ("}", "]"):
+            if not inside or (inside.pop() == "{") != (mark == "}") or not (close or after == ","):
+                return False
+            value, key, close, after = False, False, False, ","
+        elif mark == ":" and after == ":":
+            value, after = True, ""
+        elif mark == "," and after == "," and inside:
+            value, key, after = inside[-1] == "[", inside[-1] == "{", ""
+        elif mark is None and (value or (key and string)):
+            after, value, key, close = ":" if key else ",", False, False, False
+        else:
+            return False
+    return not inside and after == ","
+
+
 def _valid(payload: str) -> bool:
     try:
         return isinstance(json.loads(payload), dict)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return payload.lstrip(" \t\n\r")[:1] == "{" and _whole(payload)
+    except ValueError:
         return False
 
 
@@ -181,7 +218,10 @@ def _shred(seqs: list, payloads: list[str]) -> list[tuple]:
                 text = json.loads(value)
                 try:
                     json.loads(text)
-                except (ValueError, RecursionError):
+                except RecursionError:
+                    if not _whole(text):
+                        continue
+                except ValueError:
                     continue
                 inner.append((seq, root, text.encode("utf-8", "surrogatepass")))
             else:
@@ -198,7 +238,7 @@ def children(df: DataFrame, key: str = "seq", payload: str = "payload") -> DataF
 
     ``child`` is message, attachment, budget, ref or term; ``child_key`` its place (positions from 0), ``parent_key``
     the place of its parent within the record, empty for children of the record itself. A payload that is null, unreadable or
-    not one whole JSON object has no children; null elements are no children but are counted by positions; a single value
+    not one whole JSON object has no children (depth of nesting is no matter); null elements are no children but are counted by positions; a single value
     where a list belongs is a list of one; a string that holds JSON in place of a root is read as that JSON. Of a repeated key
     the last counts. Rows are independent, so there is no shuffle; rows sent twice give their children twice. ``key`` may be null.
     """
