@@ -72,3 +72,39 @@ def test_reply_links_rule_the_order_and_cycles_break(spark):
     got = {r["session_id"]: r for r in c.sessions(df, reply_to="up").collect()}
     assert not got["a"]["broken"] and got["b"]["cyclic"] and got["b"]["broken"] and not got["d"]["broken"]
     assert c.sessions(df).filter("session_id = 'a'").first()["broken"]  # by the clock alone the answer comes first
+
+
+LINKED = "session_id string, row_id bigint, ts_ms bigint, role string, content string, up bigint"
+
+
+def test_links_through_repeated_rows_and_the_tie_break_of_the_heap(spark):
+    data = [
+        ("a", 1, 10, "user", "q", None), ("a", 2, 10, "user", "q", None), ("a", 3, 20, "bot", "r", 2),  # names a repeated row
+        ("b", 1, 10, "user", "q", None), ("b", 2, 5, "bot", "r", 1), ("b", 3, 10, "user", "p", None), ("b", 4, 6, "bot", "s", 3),
+        ("c", 1, 1, "user", "q", None), ("c", 2, 2, "bot", "r", 3), ("c", 3, 3, "tool", "t", 2), ("c", 4, 4, "bot", "r", 1),
+    ]
+    df = spark.createDataFrame(data, LINKED)
+    got = {r["session_id"]: r for r in c.sessions(df, reply_to="up").collect()}
+    assert not got["a"]["broken"] and not got["b"]["broken"] and got["c"]["cyclic"] and not got["c"]["bad_ts"] and not got["c"]["unanswered"]
+    order = {}
+    for r in c.turns(df, reply_to="up").orderBy("session_id", "position").collect():
+        order.setdefault(r["session_id"], []).append(r["row_id"])
+    assert order == {"a": [1, 3], "b": [1, 2, 3, 4]}
+
+
+def test_doubled_links_give_kahns_order(spark, monkeypatch):
+    rnd = random.Random(5)
+    data = []
+    for s in range(12):
+        n = rnd.randrange(1, 40)
+        for i in range(n):
+            up = rnd.choice([None, None, *range(n)]) if s % 3 == 0 else None if i == 0 or rnd.random() < 0.2 else rnd.randrange(i)
+            data.append((f"s{s}", i, rnd.choice([*range(15)] * 4 + [None]) if s % 4 else rnd.randrange(15), rnd.choice(["user", "bot", "bot", "tool"]), f"{rnd.randrange(30)}", up))
+    data += [("deep", i, 500 - i, "user" if i == 0 else "bot", f"m{i}", None if i == 0 else i - 1) for i in range(300)]
+    df = spark.createDataFrame(data, LINKED)
+    one = sorted(map(tuple, c.sessions(df, reply_to="up").collect()))
+    placed = sorted(map(tuple, c.turns(df, reply_to="up").collect()))
+    monkeypatch.setattr(c, "LARGE", 0)
+    assert sorted(map(tuple, c.sessions(df, reply_to="up").collect())) == one
+    assert sorted(map(tuple, c.turns(df, reply_to="up").collect())) == placed
+    assert any(r[0] == "deep" for r in placed) and any(r[8] for r in one)
