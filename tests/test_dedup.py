@@ -62,3 +62,35 @@ def test_keyed_lookup_agrees(spark):
     a = dedup.mark_copies(frame(spark, rows), "producer", "number", prefer()).filter("accepted").select("id").collect()
     b = dedup.copies_by_lookup(frame(spark, rows).drop("Accepted"), ["producer", "number"], [F.col("created"), F.col("id")]).filter("accepted").select("id").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_ranges_against_brute_force_over_partition_edges(spark):
+    rnd = random.Random(11)
+    seen, known = {}, None
+    for turn in range(3):
+        rows = [(turn * 10_000 + i, rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([rnd.randrange(-300, 300), rnd.randrange(5000, 5100), 2**63 - 1, -(2**63), None]), rnd.randrange(4), None, None, None) for i in range(900)]
+        kept, known = dedup.accept_batch(frame(spark, rows).repartition(5), known, "producer", "number", prefer())
+        want, new = set(), {}
+        for r in sorted(rows, key=lambda r: (r[3], r[0])):
+            if r[1] is None or not r[2]:
+                want.add(r[0])
+            elif (r[1], r[2]) not in seen and (r[1], r[2]) not in new:
+                new[r[1], r[2]] = r[0]
+                want.add(r[0])
+        assert {r["id"] for r in kept.collect()} == want
+        seen.update(new)
+        out = []
+        for p, n in sorted(seen):
+            if out and out[-1][0] == p and out[-1][2] + 1 == n:
+                out[-1][2] = n
+            else:
+                out.append([p, n, n])
+        assert sorted(map(list, known.collect())) == out
+
+
+def test_text_identifiers_go_by_range_or_by_lookup(spark):
+    texts = ["5", "05", "+5", "-5", "5", "x-1", "x-1", "0", "0", "", None, "99999999999999999999", "99999999999999999999", "9223372036854775807"]
+    df = spark.createDataFrame([(i, "p", t, None if i % 3 else i) for i, t in enumerate(texts)], "id bigint, producer string, name string, at bigint")
+    kept = {r["id"] for r in dedup.mark_identified(df, "producer", "name", ["at", "id"]).filter("accepted").collect()}
+    assert kept == {0, 1, 2, 3, 6, 7, 8, 9, 10, 12, 13}
+    assert dedup.mark_identified(df.limit(0), "producer", "name", ["at", "id"]).count() == 0

@@ -24,6 +24,41 @@ def p2_kept_per_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("tenant").agg(F.count_if("accepted").alias("kept"), F.count_if(~F.col("accepted")).alias("dropped"))
 
 
+def p2_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deliveries where identifiers are texts and those with a sign are no sequence numbers."""
+    events = table(spark, sf_dir, "context_event").select("delivery_id", "tenant", F.col("event_id_hash").cast("string").alias("identifier"), "created_at_ms")
+    return dedup.mark_identified(events, "tenant", "identifier", ["created_at_ms", "delivery_id"]).filter("not accepted").select("delivery_id")
+
+
+#: Into how many rounds the batches are put.
+ROUNDS = 4
+
+
+def _p2_rounds(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
+    events = table(spark, sf_dir, "context_event").select("delivery_id", "batch_id", "tenant", "event_id_hash", "created_at_ms")
+    low, high = events.agg(F.min("batch_id"), F.max("batch_id")).first()
+    turn = F.floor((F.col("batch_id") - F.lit(low or 0)) * ROUNDS / F.lit((high or 0) - (low or 0) + 1))
+    out, ranges = [], None
+    for k in range(ROUNDS):
+        kept, ranges = dedup.accept_batch(events.filter(turn == k), ranges, "tenant", "event_id_hash", _prefer())
+        out.append(kept.select("delivery_id", F.lit(k).alias("round")))
+    return out, ranges
+
+
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries accepted when the batches come in four rounds and each is held against the ranges of those before it."""
+    out, _ = _p2_rounds(spark, sf_dir)
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def p2_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ranges each tenant's numbers make up after the last round, and the numbers they hold; ids are divided by 2**54, so that ranges merge."""
+    events = table(spark, sf_dir, "context_event").select("delivery_id", "tenant", F.shiftright("event_id_hash", 54).alias("number"))
+    seen = dedup.seen_ranges(events.filter("delivery_id % 2 = 0"), "tenant", "number")
+    _, ranges = dedup.accept_batch(events.filter("delivery_id % 2 <> 0"), seen, "tenant", "number", [F.col("delivery_id")])
+    return ranges.groupBy(F.col("producer").alias("tenant")).agg(F.count(F.lit(1)).alias("n_ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("n_numbers"), F.min("lo").alias("least"), F.max("hi").alias("greatest"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child row of ``context_record``."""
     return nested.children(table(spark, sf_dir, "context_record")).select("seq", "child", "child_key").distinct()
@@ -50,7 +85,7 @@ def p6_hourly_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("tenant", "hour_ms", *(F.col(c).cast("double").alias(c) for c in ("median_value", "min_value", "max_value")), "n_distinct")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kept_per_tenant, p5_found, p6_found, p6_hourly, p6_hourly_exact)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kept_per_tenant, p2_identifiers, p2_batches, p2_ranges, p5_found, p6_found, p6_hourly, p6_hourly_exact)}
 
 _MARKED = """
   SELECT *, event_id_hash IS NULL OR event_id_hash = 0 OR tenant IS NULL
@@ -73,6 +108,13 @@ _LATE = "coalesce(nullif(ingestion_time_ms, 0) - (hour_ms + 3600000) > 21600000,
 ORACLE = {
     "p2_found": f"SELECT delivery_id FROM ({_MARKED}) WHERE NOT accepted",
     "p2_kept_per_tenant": f"SELECT tenant, CAST(count(*) FILTER (accepted) AS BIGINT) AS kept, CAST(count(*) FILTER (NOT accepted) AS BIGINT) AS dropped FROM ({_MARKED}) GROUP BY tenant",
+    "p2_identifiers": f"SELECT delivery_id FROM ({_MARKED}) WHERE NOT accepted",
+    "p2_batches": f"""WITH r AS (SELECT *, CAST(floor((batch_id - lo) * {ROUNDS} / CAST(hi - lo + 1 AS DOUBLE)) AS INT) AS round FROM context_event, (SELECT min(batch_id) AS lo, max(batch_id) AS hi FROM context_event))
+      SELECT delivery_id, round FROM r WHERE round IS NOT NULL QUALIFY event_id_hash IS NULL OR event_id_hash = 0 OR tenant IS NULL
+        OR row_number() OVER (PARTITION BY tenant, event_id_hash ORDER BY round, created_at_ms ASC NULLS LAST, delivery_id) = 1""",
+    "p2_ranges": """WITH n AS (SELECT DISTINCT tenant, event_id_hash >> 54 AS number FROM context_event WHERE tenant IS NOT NULL AND event_id_hash IS NOT NULL AND event_id_hash >> 54 <> 0),
+      g AS (SELECT *, number - row_number() OVER (PARTITION BY tenant ORDER BY number) AS isle FROM n)
+      SELECT tenant, count(DISTINCT isle) AS n_ranges, count(*) AS n_numbers, min(number) AS least, max(number) AS greatest FROM g GROUP BY tenant""",
     "p6_found": f"SELECT delivery_id FROM ({_HAPPENED}) WHERE {_LATE}",
     "p6_hourly": f"""SELECT tenant, hour_ms, count(*) AS n_events, round(avg(CAST(importance AS DOUBLE)), 6) AS mean_importance
       FROM ({_HAPPENED}) WHERE hour_ms IS NOT NULL AND NOT {_LATE} GROUP BY tenant, hour_ms""",

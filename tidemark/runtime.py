@@ -14,21 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Only a local session may leave it unset (tests); a cluster without it is an error,
+    since files in a folder of one machine are lost with it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), f"tidemark-{spark.sparkContext.applicationId}")
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"tidemark-{spark.sparkContext.applicationId}")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in :func:`shared_dir`.
 
     Used where a result feeds several branches: it is computed once, and a lost executor
-    costs a re-read of the files rather than a recomputation.
+    costs a re-read of the files rather than a recomputation. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes
+    the files once no DataFrame refers to them.
     """
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
