@@ -31,9 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     costs a re-read of the files rather than a recomputation. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes
     the files once no DataFrame refers to them.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+    context, wanted = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if wanted not in (context.getCheckpointDir() or ""):
+        context.setCheckpointDir(wanted)
     return df.checkpoint(eager=True)
 
 
