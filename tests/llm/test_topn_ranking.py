@@ -85,6 +85,29 @@ def test_large_groups_take_the_distributed_walk_and_agree(spark):
         assert [r[c] for c in ("place", "a_higher", "b_higher", "a_tied", "b_tied")] == [flat[k][c] for c in ("place", "a_higher", "b_higher", "a_tied", "b_tied")]
 
 
+def test_many_large_groups_hot_values_and_fine_weights(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "HOT", 20)
+    monkeypatch.setattr(ranking, "SALTS", 3)
+    rnd = random.Random(4)
+    rows = [(f"g{g}", i, rnd.choice([None, 1.0, rnd.random()]), rnd.choice([0, 0, rnd.randrange(40)])) for g in range(4) for i in range(10 + 60 * g)]
+    df = spark.createDataFrame(rows, "g string, i int, a double, b int")
+    flat = {(r["g"], r["i"]): r for r in ranking.rank_walk(df, "g", "i", ["a", "b"], steps=2).collect()}
+    split = {(r["g"], r["i"]): r for r in ranking.rank_walk(df, "g", "i", ["a", "b"], large=50, steps=2).collect()}
+    assert flat.keys() == split.keys()
+    for k, r in split.items():
+        assert abs(r["weight"] - flat[k]["weight"]) < 1e-12 and r["place"] == flat[k]["place"] and r["a_higher"] == flat[k]["a_higher"] and r["b_tied"] == flat[k]["b_tied"]
+
+
+def test_steps_bound_the_error_and_large_groups_keep_their_differences():
+    rng = np.random.default_rng(1)
+    scores = [rng.random(40) for _ in range(4)]
+    pi, _ = ranking.walk(np.zeros(40, int), scores)
+    assert np.abs(pi - dense_walk(scores, 2000)).sum() < ranking.ERROR
+    n = 300_000
+    pi, _ = ranking.walk(np.zeros(n, int), [rng.random(n) for _ in range(4)])
+    assert len(np.unique(np.round(pi * n, ranking.DECIMALS))) > 0.999 * len(np.unique(pi))
+
+
 def test_always_first(spark):
     rows = [(1, 10, 9.0, 9.0, 9.0, 1.0), (1, 11, 1.0, 8.0, 2.0, 5.0), (1, 12, 2.0, None, 1.0, 0.0), (2, 20, 9.0, 9.0, 9.0, 1.0), (2, 21, 9.0, 8.0, 8.0, 2.0), (2, 22, 0.0, 0.0, 0.0, 3.0), (3, 30, None, None, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "q int, r int, a double, b double, c double, d double")

@@ -54,7 +54,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole order of every query's candidates."""
-    return _p7(spark, sf_dir).select("query_id", "ref_hash", "place", F.round("weight", 6).alias("weight"))
+    return _p7(spark, sf_dir).select("query_id", "ref_hash", "place", F.round("weight", 10).alias("weight"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +120,19 @@ _BROKEN = f"""
     bool_or(ts_ms IS NULL) OR bool_or(role IS NULL) OR bool_or(coalesce(role IN ('user', 'assistant') AND blank, false)) OR NOT bool_or(coalesce(role = 'user', false))
     OR bool_or(coalesce(role = 'assistant' AND turn = 1, false)) OR bool_or(coalesce(role = 'user', false) AND coalesce(next_role, 'user') <> 'assistant')
 """
+_HIGHER = ", ".join(f"rank() OVER (PARTITION BY query_id ORDER BY {s} DESC) - 1 AS h{k}" for k, s in enumerate(_SCORES))
+_FLOW = " + ".join(
+    f"coalesce(sum(CASE WHEN h{k} > 0 THEN pi / h{k} ELSE 0.0 END) OVER (PARTITION BY query_id ORDER BY h{k} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) + CASE WHEN h{k} = 0 THEN pi ELSE 0.0 END"
+    for k in range(4))
+#: The walk as a power iteration, one step a recursion.
+_WALK = f"""WITH RECURSIVE u AS (SELECT DISTINCT query_id, ref_hash, {', '.join(f'coalesce(CAST({s} AS DOUBLE), -1e300) AS {s}' for s in _SCORES)} FROM context_ref),
+  r AS (SELECT query_id, ref_hash, count(*) OVER (PARTITION BY query_id) AS n, {_HIGHER} FROM u),
+  w AS (SELECT *, CAST(1.0 AS DOUBLE) / n AS pi, 0 AS step FROM r
+    UNION ALL SELECT query_id, ref_hash, n, h0, h1, h2, h3, {ranking.DAMPING} * ({_FLOW}) / 4 + {1 - ranking.DAMPING} / n, step + 1 FROM w WHERE step < {ranking.STEPS})
+  SELECT query_id, ref_hash, row_number() OVER (PARTITION BY query_id ORDER BY round(pi * n, {ranking.DECIMALS}) DESC, ref_hash) AS place, round(pi, 10) AS weight FROM w WHERE step = {ranking.STEPS}"""
 ORACLE = {
     "p1_found": _BROKEN,
+    "p7_ranked": _WALK,
     "p1_turns": f"""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, row_id) - 1 AS position, row_id, role
       FROM ({_MESSAGES}) WHERE session_id NOT IN ({_BROKEN})""",
     "p4_found": """SELECT node_hash, ref_hash FROM (
