@@ -54,7 +54,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole order of every query's candidates; weights in ten-millionths, rounded where no short fraction lies on the edge."""
-    return _p7(spark, sf_dir).select("query_id", "ref_hash", "place", F.floor(F.col("weight") * 1e7 + 1 / 3).alias("weight_e7"))
+    return _p7(spark, sf_dir).select("query_id", "ref_hash", "place", F.floor(F.col("weight") * 1e7 + 0.381966).alias("weight_e7"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ _WALK = f"""WITH RECURSIVE u AS (SELECT DISTINCT query_id, ref_hash, {', '.join(
   r AS (SELECT query_id, ref_hash, count(*) OVER (PARTITION BY query_id) AS n, {_HIGHER} FROM u),
   w AS (SELECT *, CAST(1.0 AS DOUBLE) / n AS pi, 0 AS step FROM r
     UNION ALL SELECT query_id, ref_hash, n, h0, h1, h2, h3, {ranking.DAMPING} * ({_FLOW}) / 4 + {1 - ranking.DAMPING} / n, step + 1 FROM w WHERE step < {ranking.STEPS})
-  SELECT query_id, ref_hash, row_number() OVER (PARTITION BY query_id ORDER BY round(pi * n, {ranking.DECIMALS}) DESC, ref_hash) AS place, CAST(floor(pi * 1e7 + {1 / 3}) AS BIGINT) AS weight_e7 FROM w WHERE step = {ranking.STEPS}"""
+  SELECT query_id, ref_hash, row_number() OVER (PARTITION BY query_id ORDER BY round(pi * n, {ranking.DECIMALS}) DESC, ref_hash) AS place, CAST(floor(pi * 1e7 + 0.381966) AS BIGINT) AS weight_e7 FROM w WHERE step = {ranking.STEPS}"""
 ORACLE = {
     "p1_found": _BROKEN,
     "p7_ranked": _WALK,
