@@ -2,8 +2,12 @@
 
 One Aho-Corasick pass over the lower-cased text of a whole Arrow batch finds the anchors: at-signs and their spelled-out forms,
 street words and cues that introduce or follow a person. Digit groups are the anchors of phone and identity numbers. At each anchor
-a deterministic parser expands to the item's bounds and validates it; a candidate that fails is dropped. Everything happens
-within a row, so there is no shuffle and no state.
+a deterministic parser expands to the item's bounds and validates it; a candidate that fails is dropped. Expansion goes as far as the
+characters or words of the item go and stops at the first that does not fit, so no length is cut. Everything happens within a row, so there
+is no shuffle and no state.
+
+A person is found by what introduces the name (an introduction, a title, a label, thanks, a signature), by what follows it (a verb of
+saying or doing, a mail address in angle brackets), or, in capitals, by a common given name. A rarer name that nothing announces is missed.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 _S = r"[ \t\u00a0]{1,3}"  # the gap between the parts of one item
 
 # -- emails ---------------------------------------------------------------------------------------------------------
-_LOCAL_END = re.compile(r"[A-Za-z0-9](?:[\w.+%'-]*[\w+-])?$", re.ASCII)
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+%'-")
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b")
-_SPELLED = re.compile(
-    rf"([A-Za-z0-9](?:[\w.+%'-]*[\w+-])?){_S}(?:\[at\]|\(at\)|\{{at\}}|at){_S}[A-Za-z0-9-]+(?:{_S}(?:\[dot\]|\(dot\)|\{{dot\}}|dot){_S}[A-Za-z0-9-]+)+", re.I | re.ASCII)
+_SPELLED_DOMAIN = re.compile(rf"{_S}[A-Za-z0-9-]+(?:{_S}(?:\[dot\]|\(dot\)|\{{dot\}}|dot){_S}[A-Za-z0-9-]+)+", re.I | re.ASCII)
+_DOT_BEFORE = re.compile(rf"[\w+-]{_S}(?:\[dot\]|\(dot\)|\{{dot\}}|dot){_S}$", re.I | re.ASCII)
+_GAPS = " \t\u00a0"
 
 # -- numbers --------------------------------------------------------------------------------------------------------
 _ID = rf"(?P<id>\d{{3}}(?P<is>-|{_S})\d{{2}}(?P=is)\d{{4}}|[A-Za-z]{{2}}(?:{_S}\d{{2}}{_S}\d{{2}}{_S}\d{{2}}{_S}|\d{{6}})[A-Da-d]|[A-Za-z]{{2}}\d{{7}})"
@@ -41,27 +47,48 @@ STREET_EN = [
 ]
 STREET_DE = ["straße", "strasse", "weg", "gasse", "platz", "allee", "damm", "ufer"]
 STREET_ES = ["calle", "avenida", "paseo", "plaza", "camino", "ronda", "travesía", "carrera"]
+#: Street words that make an address in lower case too (fixed values).
+STREET_LOWER = frozenset("street avenue boulevard road lane drive terrace crescent".split())
 _PROPER = r"(?:[A-ZÄÖÜÁÉÍÓÚÑ][\w'’-]*)"
-_BEFORE_EN = re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?{_S}(?:{_PROPER}{_S}){{1,3}}$")
-_BEFORE_EN_LOWER = re.compile(rf"(?<![\w.-])\d{{1,5}}[a-z]?{_S}(?:[a-z][\w'’-]*{_S}){{1,3}}$")
-_WORD_DE = re.compile(r"[^\W\d_][\w-]*$")
+_BEFORE_EN = re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?{_S}(?:{_PROPER}{_S}){{1,5}}$")
+_BEFORE_EN_LOWER = re.compile(rf"(?<![\w.-])\d{{1,5}}[a-z]?{_S}((?:[^\W\d_][^\W\d_'’-]*{_S}){{1,3}})$")
 _HOUSE = re.compile(rf",?{_S}\d{{1,5}}(?:[A-Za-z]\b|\b)")
 _REST_ES = re.compile(rf"(?:{_S}(?:de(?:l|{_S}la|{_S}los|{_S}las)?|la|el|los|las|y)\b)?(?:{_S}(?:(?:de|del|la|y){_S})?{_PROPER}){{1,4}},?{_S}(?:n[.º°]{_S}?)?\d{{1,5}}(?:[A-Za-z]\b|\b)", re.I)
 
-# -- names (cues are fixed values) --------------------------------------------------------------------------------------
-BEFORE_NAME = [
-    "my name is ", "name is ", "i am ", "i'm ", "contact: ", "second contact ", "please call ", "holder ", "said he was ", "said she was ", "handed to ", "number for ",
-    "according to ", "thanks to ", "yours, ", "regards, ", "sincerely, ", "dr. ", "mr. ", "mrs. ", "ms. ", "dr ", "mr ", "mrs ", "ms ", "wake ", "met ", "owner = ", "owner: ", "c/o ", "attn: ",
-    "mein name ist ", "ich bin ", "bitte an ", "herr ", "frau ", "llame a ", "me llamo ", "soy ", "mi nombre es ", "señor ", "señora ", '"user": "', '"name": "', "approved by ", "signed by ", "written by ", "|",
-]
-AFTER_NAME = [
-    " signed the ", " reviewed ", " wants replies ", '" is who ', " y vivo en ", " and you can write ", " about the result", " approved ", " asked to be ", " <",
-]
-#: Words that open no person's name (fixed values).
+# -- names (fixed values) ---------------------------------------------------------------------------------------------
+INTRODUCE = "my name is|name is|i am|i'm|this is|call me|mein name ist|ich bin|ich heiße|me llamo|mi nombre es|soy".split("|")
+REACH = "contact|contact:|please call|call|ask|ask for|wake|page|meet|met|email|tell|c/o|attn|attn:|bitte an|llame a|pregunte por|fragen sie".split("|")
+#: Cues that are followed by other words too: the name must be in capitals.
+WEAK = frozenset("call|page|email|tell|meet|this is|call me|ask for|given to|sent by".split("|"))
+CREDIT = (
+    "according to|thanks to|handed to|assigned to|given to|belongs to|number for|said he was|said she was|said they were|holder|signed by|written by|approved by|reviewed by|"
+    "reported by|requested by|prepared by|sent by"
+).split("|")
+CLOSE = "yours,|regards,|sincerely,|cheers,|saludos,|grüße,|gruß,".split("|")
+TITLES = "dr mr mrs ms prof herr frau señor señora".split()
+LABELS = "owner user name author assignee contact customer patient holder reviewer caller".split()
+PAPERS = "invoice receipt bill parcel letter order".split()
+#: What a person does right after being named.
+DOES = (
+    "signed|reviewed|approved|asked|wants|wrote|said|says|called|replied|confirmed|reported|explained|answered|complained|lives|came|agreed|promised|thinks|told"
+).split("|")
+#: Of these, acts that name the person who did them in small letters too.
+FORMAL = frozenset("signed reviewed approved wrote".split())
+#: Given names that name a person without any cue, where a capitalised surname follows.
+GIVEN = frozenset(
+    "adam aisha alan alejandro alexander alice amanda amelia andrea andreas andrew angela anita anna anne antonio arthur barbara beatrice benjamin bernd brian bruno carlos carmen "
+    "caroline catherine charles christian christina christopher clara claudia daniel daniela david deborah diego dmitri edward elena elizabeth emily emma eric eva fatima felix fernando "
+    "francisco franz frederick gabriel george gerhard hannah hans harry heinrich helen helga henry ibrahim ines ingrid isabel jacob james jan javier jennifer jessica joan johann john "
+    "jonas jorge jose joseph juan julia jürgen karen karin karl katharina kevin klaus laura lena linda louise lucia luis lukas manuel maria marie marta martin matthew mehmet michael miguel "
+    "mohammed monica natalia nicole nina olga oliver oscar pablo patricia paul pedro peter petra philip priya rachel raj rebecca richard robert rosa ruth samuel sandra sarah sebastian "
+    "sergei sofia sophie stefan stephen steven susan sven teresa thomas ursula victor walter werner wilhelm william wolfgang yuki yusuf".split())
+#: Words that are no part of a person's name.
 NO_NAME = frozenset(
     "the a an this that these those my your his her its our their you he she it we they i is are was were be to of in on at by for from with and or but not no all each every any some "
-    "who what which when where why how if so then there here now up down out off over again please also still very just only both two one der die das ein eine und oder nicht el la los las un una y o que se".split()
-)
+    "who what which when where why how if so then there here now up down out off over again please also still very just only both two one der die das ein eine und oder nicht el la los las un una y o que se "
+    "really too quite almost always never already soon today tomorrow yesterday glad happy sorry sure tired done ready able afraid going about back home new old good bad "
+    "team teams group department service services support office company bank board committee council university school hospital quality assurance management system systems data customer "
+    "bridge station park river lake hall tower airport city county street road avenue lane square north south east west inc ltd llc gmbh corp".split())
 _L = r"[^\W\d_]"
 _STYLES = [  # capitalised, upper case, lower case; particles like O' and hyphens belong to the word
     (rf"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*", r"[A-Z]\."),
@@ -74,8 +101,12 @@ _NAME_END = re.compile(rf"(?<![\w'’.-])(?:{_FORMS})$")
 _AND = re.compile(rf"{_S}(?:and|und|y|&){_S}")
 _FOR = re.compile(rf"{_S}(?:for|of|belongs to|holder){_S}")
 _AFTER_TITLE = re.compile(r"(?:dr|mr|mrs|ms|prof)\.?[ \t]+", re.I)
-_INVOICE = re.compile(r"[\w -]{1,40}: ")
-_PIPE = re.compile(r"\|[+(]?\d")
+_PAPER = re.compile(r"[\w -]+: ")
+_CELL = re.compile(r"\|[ \t]?(?:[+(]?\d|[\w.+%'-]+@)")
+_ANGLE = re.compile(r"[\w.+%'-]+@")
+_SAINT = re.compile(r"(?:san|santa|saint|st\.?)[ \t]+$", re.I)
+_OPENERS = frozenset(".!?:;|>\n\x00\"“„(\ufeff")
+_LED = re.compile(r"[ \t]+[a-zß-öø-ÿ]|[^\w \t]|$|[ \t]+[^\w \t]")
 
 
 def _automaton():
@@ -88,19 +119,32 @@ def _automaton():
         entries.setdefault(pattern, []).append(what)
 
     put("@", "at")
-    for x in ("[dot]", "(dot)", "{dot}", " dot "):
-        put(x, "dot")
+    for x in ("[at]", "(at)", "{at}", " at", "\tat", "\u00a0at"):
+        put(x, "spelled")
     for x in STREET_EN:
         put(f" {x}", "street")
     for x in STREET_DE:
         put(x, "strasse")
     for x in STREET_ES:
         put(f"{x} ", "calle")
-    for x in BEFORE_NAME:
-        put(x, "before")
-    put("invoice for ", "invoice")
-    for x in AFTER_NAME:
+    for x in (*INTRODUCE, *REACH, *CREDIT, *CLOSE):
+        put(f"{x} ", "weak" if x in WEAK else "before")
+    for x in TITLES:
+        put(f"{x} ", "before")
+        put(f"{x}. ", "before")
+    for x in LABELS:
+        for sep in (" = ", "=", ": ", '": "'):
+            put(x + sep, "before")
+    put("|", "cell")
+    for x in PAPERS:
+        put(f"{x} for ", "paper")
+    for x in DOES:
+        put(f" {x} ", "after")
+    for x in ('" is ', '" was '):
         put(x, "after")
+    put(" <", "angle")
+    for x in GIVEN:
+        put(x, "given")
     for pattern, what in entries.items():
         a.add_word(pattern, (len(pattern), tuple(w[0] for w in what)))
     a.make_automaton()
@@ -146,7 +190,7 @@ class Finder:
     def _scan(self, text: str) -> set[tuple[int, int, str]]:
         low = _lower(text)
         found: set[tuple[int, int, str]] = set()
-        size = len(text)
+        no_paper = 0  # up to here no colon ends a paper's subject
         for m in _NUMBER.finditer(text):
             kind = "id_number" if m["id"] or m["id2"] else "phone"
             s, e = m.span()
@@ -158,58 +202,129 @@ class Finder:
         for last, (length, kinds) in self.anchors.iter(low):
             begin, end = last + 1 - length, last + 1
             for kind in kinds:
-                if kind == "before":
-                    if length > 1 and begin and low[begin].isalpha() and low[begin - 1].isalnum():
+                if kind in ("before", "weak"):
+                    if begin and low[begin].isalpha() and low[begin - 1].isalnum() or kind == "weak" and not text[end : end + 1].isupper():
                         continue
-                    self._name_at(text, end, found, pipe=length == 1)
+                    self._name_at(text, end, found)
+                elif kind == "cell":
+                    self._name_at(text, end, found, cell=True)
                 elif kind == "after":
-                    if m := _NAME_END.search(text, max(0, begin - 60), begin):
-                        t = _AFTER_TITLE.match(text, m.start())
-                        if not t or (m := _NAME.fullmatch(text, t.end(), m.end())):
-                            self._add_name(text, m.start(), m.end(), found)
+                    self._name_before(text, begin, found, low[begin + 1 : end - 1] if low[begin] == " " else "")
+                elif kind == "angle":
+                    if _ANGLE.match(text, end):
+                        self._name_before(text, begin, found)
+                elif kind == "given":
+                    self._given(text, begin, end, found)
                 elif kind == "street":
                     self._street(text, begin, end, found)
                 elif kind == "at":
-                    left = _LOCAL_END.search(text, max(0, begin - 64), begin)
-                    right = _DOMAIN.match(text, end)
-                    if left and right:
-                        found.add((left.start(), right.end(), "email"))
-                elif kind == "dot":
-                    for m in _SPELLED.finditer(text, max(0, begin - 110), min(size, end + 64)):
-                        if m.start() < begin < m.end() and (m.start() == 0 or not (text[m.start() - 1].isalnum())):
-                            found.add((m.start(), m.end(), "email"))
+                    start = self._local(text, begin)
+                    if start is not None and (right := _DOMAIN.match(text, end)):
+                        found.add((start, right.end(), "email"))
+                elif kind == "spelled":
+                    if right := _SPELLED_DOMAIN.match(text, end):
+                        gap = begin + 1 if text[begin] in _GAPS else begin
+                        while gap > 0 and text[gap - 1] in _GAPS:
+                            gap -= 1
+                        start = self._local(text, gap) if gap < begin + (text[begin] in _GAPS) else None
+                        while start is not None and (m := _DOT_BEFORE.search(text, self._words_back(text, start, 2), start)) and (more := self._local(text, m.start() + 1)) is not None:
+                            start = more
+                        if start is not None and (start == 0 or not text[start - 1].isalnum()):
+                            found.add((start, right.end(), "email"))
                 elif kind == "strasse":
-                    w = _WORD_DE.search(text, max(0, begin - 40), end)
-                    h = _HOUSE.match(text, end)
-                    if w and h and w.start() < begin and text[w.start()].isupper():
-                        found.add((w.start(), h.end(), "address"))
+                    at = begin
+                    while at and (text[at - 1].isalnum() or text[at - 1] in "_-"):
+                        at -= 1
+                    while at < begin and not text[at].isalpha():
+                        at += 1
+                    if at < begin and text[at].isupper() and (h := _HOUSE.match(text, end)):
+                        found.add((at, h.end(), "address"))
                 elif kind == "calle":
                     if (not begin or not low[begin - 1].isalnum()) and (h := _REST_ES.match(text, end - 1)):
                         found.add((begin, h.end(), "address"))
-                elif kind == "invoice":
-                    if m := _INVOICE.match(text, end):
+                elif kind == "paper" and end >= no_paper:
+                    if m := _PAPER.match(text, end):
                         self._name_at(text, m.end(), found)
+                    else:
+                        no_paper = end
+                        while no_paper < len(text) and (text[no_paper].isalnum() or text[no_paper] in "_ -"):
+                            no_paper += 1
         return found
 
+    @staticmethod
+    def _local(text: str, end: int) -> int | None:
+        """Where the local part of an address that ends at ``end`` begins; None if there is none."""
+        at = end
+        while at and text[at - 1] in _LOCAL:
+            at -= 1
+        while at < end and text[at] not in _ALNUM:
+            at += 1
+        return at if at < end and (text[end - 1] in _ALNUM or text[end - 1] in "_+-") else None
+
+    @staticmethod
+    def _words_back(text: str, end: int, n: int) -> int:
+        """Where the last ``n`` words on the line before ``end`` begin."""
+        at = end
+        for _ in range(n):
+            while at and text[at - 1] in _GAPS:
+                at -= 1
+            if not at or text[at - 1].isspace():
+                break
+            while at and not text[at - 1].isspace() and text[at - 1] not in _GAPS:
+                at -= 1
+        return at
+
     def _street(self, text: str, begin: int, end: int, found: set) -> None:
         if end < len(text) and (text[end].isalnum() or text[end] in "'’-" and text[end + 1 : end + 2].isalpha()):
             return
         word = text[begin + 1 : end]
-        before = _BEFORE_EN if word[0].isupper() else None
-        if before and (m := before.search(text, max(0, begin - 60), begin + 1)):
-            found.add((m.start(), end, "address"))
+        first = self._words_back(text, begin, 6)
+        if word[0].isupper():
+            if m := _BEFORE_EN.search(text, first, begin + 1):
+                found.add((m.start(), end, "address"))
+        elif word in STREET_LOWER and (m := _BEFORE_EN_LOWER.search(text, first, begin + 1)):
+            if not any(w.lower() in NO_NAME or w in STREET_LOWER or w.endswith("s") for w in m[1].split()):
+                found.add((m.start(), end, "address"))
+
+    @staticmethod
+    def _in_small(text: str, start: int, name: str, verb: str, end: int) -> bool:
+        """Whether small letters before a verb are a name: of a common given name, or before a formal act that opens a sentence or has an object."""
+        if not GIVEN.isdisjoint(re.split(r"[\s,]+", name)):
+            return True
+        while start and text[start - 1] in _GAPS:
+            start -= 1
+        return verb in FORMAL and (not start or text[start - 1] in _OPENERS or text.startswith(" the ", end + len(verb) + 1))
+
+    def _name_before(self, text: str, end: int, found: set, verb: str = "") -> None:
+        if m := _NAME_END.search(text, self._words_back(text, end, 4), end):
+            if verb and m[0][0].islower() and not self._in_small(text, m.start(), m[0], verb, end):
+                return
+            t = _AFTER_TITLE.match(text, m.start())
+            if not t or (m := _NAME.fullmatch(text, t.end(), m.end())):
+                self._add_name(text, m.start(), m.end(), found)
+
+    def _given(self, text: str, begin: int, end: int, found: set) -> None:
+        """A known given name in capitals, before its surname or after it and a comma."""
+        if not text[begin].isupper() or begin and (text[begin - 1].isalnum() or text[begin - 1] in "'’-@._/") or text[end : end + 1].isalnum():
+            return
+        if _SAINT.search(text, self._words_back(text, begin, 1), begin):
+            return
+        if (m := _NAME.match(text, begin)) and m.end() > end and text[end] != ",":
+            self._add_name(text, begin, m.end(), found)
+        elif text[begin - 2 : begin] == ", " and (m := _NAME.match(text, self._words_back(text, begin, 1))) and m.end() >= end:
+            self._add_name(text, m.start(), m.end(), found)
 
-    def _name_at(self, text: str, at: int, found: set, pipe: bool = False) -> None:
+    def _name_at(self, text: str, at: int, found: set, cell: bool = False) -> None:
         if t := _AFTER_TITLE.match(text, at):
             at = t.end()
         m = _NAME.match(text, at)
-        if not m or pipe and not _PIPE.match(text, m.end()):
+        if not m or cell and not _CELL.match(text, m.end()):
             return
         if not self._add_name(text, m.start(), m.end(), found):
             return
         if a := _AND.match(text, m.end()):
             n = _NAME.match(text, a.end())
-            if n and text[n.end() : n.end() + 7].lower().startswith((" about ", ".", ",", ";")):
+            if n and (_LED.match(text, n.end()) if n[0][:1].isupper() else text[n.end() : n.end() + 7].lower().startswith((" about ", ".", ",", ";"))):
                 self._add_name(text, n.start(), n.end(), found)
 
     @staticmethod
