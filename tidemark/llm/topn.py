@@ -2,8 +2,11 @@
 
 Each input partition keeps, in its Python worker, at most N distinct items per group (its local best), so rows are cut
 where they are read and the full rows are never shuffled. The local N-th best of any partition is a lower bound for the
-group's true N-th best; the strongest bound per group is joined back, rows under it are dropped, and the few survivors,
+group's true N-th best; the strongest bound per group meets the group's rows, rows under it are dropped, and the few survivors,
 at most N per partition and group, are ranked. A group with a third of all rows costs no more than N rows per partition.
+
+The local lists are exchanged once, by group: bound, cut, distinct items and rank all follow from that one partitioning, so nothing
+is written in between and a group's bound needs no join of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.runtime import cut, fresh_name
+from tidemark.runtime import fresh_name, repartition_for
 
 
 def _codes(*columns) -> np.ndarray:
@@ -85,15 +88,12 @@ def top_n(df: DataFrame, group: list[str], item: str, order: list[tuple[str, str
         rows = rows.filter(~F.isnan(lead))
     full = order if item in [c for c, _ in order] else [*order, (item, "ascending")]
     types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    local = cut(rows.mapInArrow(_local_best(group, item, full, n, nth), f"{types}, `{nth}` boolean").withColumn(key, F.struct(*_key(rows, full))))
+    local = rows.mapInArrow(_local_best(group, item, full, n, nth), f"{types}, `{nth}` boolean")
+    placed = repartition_for(local, *group).withColumn(key, F.struct(*_key(rows, full))).sortWithinPartitions(*group, item, key)
     # the struct orders best first, so the strongest lower bound is the least of the local n-th bests
-    far = {g: fresh_name([*used, key, bound], f"__{g}") for g in group}
-    bounds = local.filter(nth).groupBy(*(F.col(g).alias(far[g]) for g in group)).agg(F.min(key).alias(bound))
-    cond = F.lit(True)
-    for g in group:
-        cond = cond & F.col(g).eqNullSafe(F.col(far[g]))
-    survivors = local.join(bounds, cond, "left").filter(F.col(bound).isNull() | (F.col(key) <= F.col(bound))).select(*used, key)
-    once = survivors.groupBy(*group, item).agg(F.min(key).alias(key), *(F.min_by(c, key).alias(c) for c in used if c not in group and c != item))
+    strongest = F.min(F.when(F.col(nth), F.col(key))).over(W.partitionBy(*group))
+    survivors = placed.withColumn(bound, strongest).filter(F.col(bound).isNull() | (F.col(key) <= F.col(bound))).select(*used, key)
+    once = survivors.withColumn(bound, F.row_number().over(W.partitionBy(*group, item).orderBy(key))).filter(F.col(bound) == 1).drop(bound)
     rank = fresh_name(used, rank)
     return once.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(key))).filter(F.col(rank) <= n).select(*used, rank)
 
