@@ -61,7 +61,7 @@ def p2_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child row of ``context_record``."""
-    return nested.children(table(spark, sf_dir, "context_record")).select("seq", "child", "child_key").distinct()
+    return nested.children(table(spark, sf_dir, "context_record"), values=False).select("seq", "child", "child_key").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
