@@ -80,3 +80,14 @@ def test_the_larger_mix_clamps_a_source_and_spreads_the_rest(spark, tmp_path):
     assert times == pytest.approx({"a": 1.0, "b": 0.9, "c": 0.6}, abs=0.01)
     used = queries.QUERIES["p9_mix_beyond"](spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in used if r["source"] == "a"} == set(range(0, 3000, 3)) and {r["repeats"] for r in used} == {1}
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * (200 if i == 3 else 2)) for i in range(20)] + [(5, "text 5 again and longer than the other")] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1.0 + i % 5) for i in range(20)], "doc_id bigint, reading_level double")
+    texts, marks = reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 30)
+    assert len(texts) == len(marks) == 20 and not any("again" in t for t in texts)
+    monkeypatch.setattr(reading, "MAX_BYTES", 200)
+    texts, _ = reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 30)
+    assert 0 < sum(map(len, texts)) <= 200 and max(map(len, texts)) < 50
+    assert len(reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 4)[0]) == 4

@@ -180,7 +180,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     ek = cut(e.withColumn("k", F.monotonically_increasing_id()))
     df = dk.select("k", "text").mapInArrow(_prints(gram, w), made).select("h", F.col("id").alias("dk"), F.col("pos").alias("i"))
     ef = ek.select("k", "text").mapInArrow(_prints(gram, w), made).select("h", F.col("id").alias("ek"), F.col("pos").alias("j"))
-    hits = df.join(ef, "h").groupBy("dk", "ek").agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))
+    # hits of a pair are gathered by blocks of both texts, so that no list grows with them; any hit leads to the whole span around it
+    blocks = [F.floor(F.col(c) / BLOCK).alias(f"{c}_block") for c in "ij"]
+    hits = df.join(ef, "h").groupBy("dk", "ek", *blocks).agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j"))
     both = (
         hits.join(dk.select(F.col("k").alias("dk"), F.col("id").alias("doc_id"), F.col("text").alias("a")), "dk")
         .join(ek.select(F.col("k").alias("ek"), F.col("id").alias("item_id"), F.col("text").alias("b")), "ek")
@@ -189,6 +191,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     return both.mapInArrow(_confirm(span), "doc_id bigint, item_id bigint").distinct()
 
 
+#: Words of either text in one block of hits.
+BLOCK = 1024
+
+
 def report(found: DataFrame) -> DataFrame:
     """How many documents each leaked item stands in: ``item_id, n_docs``."""
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))

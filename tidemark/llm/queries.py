@@ -62,6 +62,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each leaked item stands."""
+    return leakage.report(p8_found(spark, sf_dir))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a mix that reaches the target shares, with how often each is used."""
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))[0]
@@ -100,7 +105,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p10(spark, sf_dir).groupBy(F.round("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found, p9_mix, p9_shares, p9_mix_beyond, p9_shares_beyond, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p3_found, p3_redacted, p4_found, p7_found, p7_ranked, p8_found, p8_report, p9_mix, p9_shares, p9_mix_beyond, p9_shares_beyond, p10_found, p10_profile)}
 
 _ALIASES = "CASE " + " ".join(
     f"WHEN r IN ({', '.join(repr(x) for x in names)}) THEN '{role}'" for role, names in conversations.ROLE_ALIASES.items()) + " END"
@@ -130,7 +135,15 @@ _WALK = f"""WITH RECURSIVE u AS (SELECT DISTINCT query_id, ref_hash, {', '.join(
   w AS (SELECT *, CAST(1.0 AS DOUBLE) / n AS pi, 0 AS step FROM r
     UNION ALL SELECT query_id, ref_hash, n, h0, h1, h2, h3, {ranking.DAMPING} * ({_FLOW}) / 4 + {1 - ranking.DAMPING} / n, step + 1 FROM w WHERE step < {ranking.STEPS})
   SELECT query_id, ref_hash, row_number() OVER (PARTITION BY query_id ORDER BY round(pi * n, {ranking.DECIMALS}) DESC, ref_hash) AS place, CAST(floor(pi * 1e7 + 0.381966) AS BIGINT) AS weight_e7 FROM w WHERE step = {ranking.STEPS}"""
+def _spans(table: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {leakage.SPAN - 1}], ' ') AS span FROM (
+      SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}), unnest(range(1, len(w) - {leakage.SPAN} + 2)) AS r(i)"""
+
+
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_spans('documents', 'doc_id')}) JOIN ({_spans('eval_item', 'item_id')}) USING (span)"
 ORACLE = {
+    "p8_found": _LEAKS,
+    "p8_report": f"SELECT item_id, count(*) AS n_docs FROM ({_LEAKS}) GROUP BY item_id",
     "p1_found": _BROKEN,
     "p7_ranked": _WALK,
     "p1_turns": f"""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, row_id) - 1 AS position, row_id, role
