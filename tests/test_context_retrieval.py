@@ -55,9 +55,7 @@ def test_similar_candidates_are_dropped(spark):
     assert sorted((r["q"], r["r"]) for r in out.collect()) == [(1, 1), (1, 3), (1, 4), (1, 5), (2, 1)]
 
 
-def test_plan_and_scores(spark):
-    p = retrieval.plan_query("When did the latest policies of our team change?")
-    assert p["terms"] == ["latest", "policy", "team", "change"] and p["question_type"] == "date" and p["window"] == "latest"
+def test_scores(spark):
     row = spark.range(1).select(
         retrieval.time_decay(F.lit(10**9), F.lit(10**9 - 5)).alias("now"), retrieval.time_decay(F.lit(2 * 10**9), F.lit(0)).alias("old"), retrieval.hybrid(F.lit(2.0), F.lit(None), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("h")).first()
     assert row["now"] == 1.0 and row["old"] == pytest.approx(math.exp(-math.sqrt((2 * 10**9 - 86_400_000) / 604_800_000))) and row["h"] == pytest.approx(0.6 * 0.55 + 0.18)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import understanding
 from tidemark.runtime import cut, repartition_for
 
 # fixed values of the score formulas
@@ -22,27 +22,17 @@ TOLERANCE_MS, HALF_LIFE_MS = 86_400_000, 604_800_000
 DUPLICATE = 0.85
 # for similar pairs: tokens whose counts set the order, longest set with signatures of three, pairs settled in one task
 COMMON, SHORT, SETTLE = 5_000, 24, 1_000_000
-CROSS_SESSION_RATIO = {"fact": 0.12, "multi_hop": 0.20, "broad_exploration": 0.30, "current_state": 0.15}
-STOPWORDS = frozenset("a an and are as at be but by did do does for from had has have how i in is it me my of on or our that the their they this to was we were what when where which who why will with you your".split())
-
-
-def plan_query(text: str) -> dict:
-    """Terms (lower case, three letters or more, no stopwords, plural endings off), bigrams, phrase, question type and time window of a query."""
-    words = [w for w in re.split(r"[^0-9a-z]+", text.lower()) if len(w) >= 3 and w not in STOPWORDS]
-    stems = [re.sub(r"ies$", "y", w) if w.endswith("ies") else re.sub(r"(?<=[^s])s$", "", w) for w in words]
-    kinds = [("date", r"\b(when|what (day|date|time|year|month))\b"), ("why_emotion", r"\b(why|feel|felt)\b"), ("current_state", r"\b(now|current|currently|latest|today|still)\b"), ("procedure", r"\b(how (do|to|can)|steps?)\b"), ("multi_hop", r"\b(both|and then|after .* before|compare)\b"), ("broad_exploration", r"\b(overview|everything|summar\w+|all about)\b")]
-    times = [("latest", r"\b(latest|newest|most recent|current)\b"), ("before", r"\bbefore\b"), ("after", r"\b(after|since)\b"), ("relative", r"\b(yesterday|today|last (week|month|year))\b")]
-    pick = lambda table, default: next((k for k, p in table if re.search(p, text.lower())), default)
-    return {"terms": list(dict.fromkeys(stems)), "bigrams": [f"{a} {b}" for a, b in zip(stems, stems[1:])], "phrase": " ".join(words), "question_type": pick(kinds, "fact"), "window": pick(times, "unbounded")}
 
 
 def rewrite_follow_up(turns: DataFrame, order: str = "turn") -> DataFrame:
     """User turns that lean on what went before get the last three user texts put in front, 600 characters at most:
-    ``conv_id, turn, text -> + rewritten``."""
+    ``conv_id, turn, text -> + rewritten``. Blank texts are no context and stay as they are."""
     users = turns.filter("role = 'user'")
-    before = F.array_join(F.collect_list("text").over(W.partitionBy("conv_id").orderBy(order).rowsBetween(-3, -1)), " ")
-    leans = F.lower("text").rlike(r"\b(it|that|this|those|them|they|he|she|there|same|again|also)\b")
-    return users.withColumn("rewritten", F.when(leans & (before != ""), F.substring(F.concat_ws(" ", before, "text"), 1, 600)).otherwise(F.col("text")))
+    said = F.coalesce(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")) != "", F.lit(False))
+    before = F.array_join(F.collect_list(F.regexp_replace("text", r"^\s+|\s+$", "")).over(W.partitionBy("conv_id").orderBy(order).rowsBetween(-understanding.REWRITE_TURNS, -1)), " ")
+    whole = F.substring(F.regexp_replace(F.concat_ws(" ", before, "text"), r"^\s+|\s+$", ""), 1, understanding.REWRITE_CHARS)
+    spoken = users.filter(said).withColumn("rewritten", F.when(understanding.leans_on_thread(F.col("text")) & (before != ""), whole).otherwise(F.col("text")))
+    return spoken.unionByName(users.filter(~said).withColumn("rewritten", F.col("text")))
 
 
 def text_match(text: Column, terms: list[str]) -> Column:
@@ -80,10 +70,8 @@ def in_scope(actual: dict[str, Column], wanted: dict[str, object]) -> Column:
 
 
 def index_filter(terms: Column, groups: list[list[str]]) -> Column:
-    """One group: all its terms; several: any group with a term in common."""
-    if len(groups) == 1:
-        return F.size(F.array_except(F.array(*map(F.lit, groups[0])), terms)) == 0
-    out = F.lit(False)
+    """Whether the terms meet the groups: terms of a group are alternatives, one group has to be met, of several any. No group is always met."""
+    out = F.lit(not groups)
     for g in groups:
         out = out | F.arrays_overlap(terms, F.array(*map(F.lit, g)))
     return out
@@ -108,10 +96,6 @@ def diversify(ranked: DataFrame, query: str, node: str, rank: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy("_t", rank))).drop("_t")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
-
-
 def pack(candidates: DataFrame, query: str, score: str, item: str, tokens: str, budget: int, max_refs: int = 64, min_score: float = 0.0) -> DataFrame:
     """Greedy packing under a token budget, best score first: candidates with ``selected`` and ``reason``.
 

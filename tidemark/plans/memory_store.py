@@ -89,16 +89,6 @@ def entity_rules(spark, d):
     return memory.entities(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-PLAN_TERMS = ["ledger", "recall", "snapshot"]
-
-
-@query(f"SELECT doc_id, round(({' + '.join(f'CAST(contains(lower(text), {t!r}) AS INT)' for t in PLAN_TERMS)}) / 3.0, 6) AS match FROM documents")
-def retrieval_text_match(spark, d):
-    terms = retrieval.plan_query("When does the recall of our ledgers use a snapshot?")["terms"]
-    terms = [t for t in terms if t != "use"]
-    return table(spark, d, "documents").select("doc_id", F.round(retrieval.text_match(F.col("text"), terms), 6).alias("match"))
-
-
 @query(f"""SELECT query_id, ref_hash, round(CASE WHEN time_score IS NULL AND sparse_score IS NULL AND h THEN 0.58 ELSE least(1.0, 0.72 * coalesce(time_score, 0) + 0.28 * coalesce(sparse_score / (sparse_score + 5), 0) + CASE WHEN h THEN 0.08 ELSE 0 END) END, 6) AS s
   FROM (SELECT *, coalesce(recall_path = 'index', false) AS h FROM ({R}))""")
 def retrieval_node_score(spark, d):
@@ -115,12 +105,12 @@ def retrieval_drop_similar(spark, d):
 
 @query("""WITH s AS (SELECT tenant, node_hash, unnest(['kind:' || event_type, 'status:' || coalesce(status, -1)]) AS term FROM context_event WHERE node_hash IS NOT NULL),
   t AS (SELECT node_hash, list(DISTINCT term) AS terms FROM s GROUP BY 1)
-  SELECT node_hash, list_has_all(terms, ['kind:2', 'status:1']) AS all_of, list_has_any(terms, ['kind:7']) OR list_has_any(terms, ['kind:8', 'status:-1']) AS any_of FROM t""")
+  SELECT node_hash, list_has_any(terms, ['kind:2', 'status:1']) AS one_of, list_has_any(terms, ['kind:7']) OR list_has_any(terms, ['kind:8', 'status:-1']) AS any_of FROM t""")
 def retrieval_index_groups(spark, d):
     e = table(spark, d, "context_event").filter("node_hash is not null")
     terms = F.array(F.concat(F.lit("kind:"), F.col("event_type").cast("string")), F.concat(F.lit("status:"), F.coalesce("status", F.lit(-1)).cast("string")))
     t = e.select("node_hash", F.explode(terms).alias("t")).groupBy("node_hash").agg(F.collect_set("t").alias("terms"))
-    return t.select("node_hash", retrieval.index_filter(F.col("terms"), [["kind:2", "status:1"]]).alias("all_of"), retrieval.index_filter(F.col("terms"), [["kind:7"], ["kind:8", "status:-1"]]).alias("any_of"))
+    return t.select("node_hash", retrieval.index_filter(F.col("terms"), [["kind:2", "status:1"]]).alias("one_of"), retrieval.index_filter(F.col("terms"), [["kind:7"], ["kind:8", "status:-1"]]).alias("any_of"))
 
 
 @query()
@@ -133,7 +123,14 @@ def memory_facade(spark, d):
     return m.get_all().groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT session_id AS conv_id, row_id, ts_ms, coalesce(content, '') AS text, regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS said FROM chat_message WHERE session_id IS NOT NULL AND lower(trim(role)) = 'user'),
+  b AS (SELECT *, array_to_string(list(said) OVER (PARTITION BY conv_id ORDER BY ts_ms NULLS FIRST, row_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' ') AS before FROM u WHERE said <> '')
+  SELECT conv_id, row_id, CASE WHEN coalesce(before, '') <> '' AND (
+      regexp_matches(text, '(?i)\b(that|it|this|those|these|they|them|its|their|there|the ones?|the two|the same|the fix|the change|the issue|the above|the whole)\b')
+      OR regexp_matches(text, '(?i)^\s*(summariz|recap|tl;?dr|continue|elaborat|expand|go on|tell me more|more on|and\b)')
+      OR (len(regexp_split_to_array(said, '\s+')) <= 14 AND regexp_matches(text, '(?i)^\s*(and|so|then|also|but|plus|why|what about|whats?\s+about|ok|okay)\b')))
+    THEN left(regexp_replace(concat(before, ' ', text), '^\s+|\s+$', '', 'g'), 600) ELSE text END AS rewritten FROM b
+  UNION ALL SELECT conv_id, row_id, text FROM u WHERE said = ''""")
 def follow_up_rewrite(spark, d):
     c = table(spark, d, "chat_message").filter("session_id is not null").select(F.col("session_id").alias("conv_id"), F.struct("ts_ms", "row_id").alias("turn"), F.lower(F.trim("role")).alias("role"), F.coalesce("content", F.lit("")).alias("text"))
     return retrieval.rewrite_follow_up(c).select("conv_id", "turn.row_id", "rewritten")
