@@ -36,10 +36,11 @@ def test_traversal_matches_a_loop(spark):
         layer = sorted(layer)[:3]
         want += [(c, depth) for _, c in layer]
         front = [c for _, c in layer]
-    out = context.traverse(
-        spark.createDataFrame(edges, "parent bigint, child bigint, updated_at_ms bigint"), spark.createDataFrame(list(vec.items()), "node bigint, vector array<double>"), spark.createDataFrame([(0,)], "root bigint"), q, 4, 3)
+    kept = lambda rows, names: spark.createDataFrame([(7, *r) for r in rows], f"tenant bigint, {names}")
+    vectors, roots = kept(vec.items(), "node bigint, vector array<double>"), kept([(0,)], "root bigint")
+    out = context.traverse(kept(edges, "parent bigint, child bigint, updated_at_ms bigint"), vectors, roots, q, 4, 3)
     assert [(r["node"], r["depth"]) for r in out.orderBy("depth", F.col("score").desc()).collect()] == want
-    none = context.traverse(spark.createDataFrame([], "parent bigint, child bigint, updated_at_ms bigint"), spark.createDataFrame(list(vec.items()), "node bigint, vector array<double>"), spark.createDataFrame([(0,)], "root bigint"), q)
+    none = context.traverse(kept([], "parent bigint, child bigint, updated_at_ms bigint"), vectors, roots, q)
     assert none.count() == 0
 
 
@@ -129,3 +130,66 @@ def test_similar_candidates_beyond_64_match_brute_force(spark, monkeypatch):
         for large in (100, 100_000):
             got = retrieval.drop_similar(df, "q", "r", "t", least, large).collect()
             assert len(got) == len(want) and {(x["q"], x["r"]) for x in got} == want
+
+
+def test_embeddings_and_hashes_of_texts_of_any_length():
+    import numpy as np
+    import pandas as pd
+
+    def fnv(raw):
+        h = hashing.FNV_OFFSET
+        for b in raw:
+            h = (h ^ b) * hashing.FNV_PRIME % 2**64
+        return h
+
+    texts = ["", "a", "ünï", "x" * 3000, None, "longer text " * 20]
+    got = hashing.embeddings(pd.Series(texts), "m1")
+    for t, row in zip(texts, got):
+        want = np.array([(fnv(f"m1:{i}:{t or ''}".encode()) % 20_001 - 10_000) / 10_000 for i in range(16)], np.float32)
+        assert np.allclose(row, want / np.sqrt((want * want).sum()), atol=1e-6)
+    assert hashing.fnv1a64(pd.Series(texts)).tolist() == [fnv((t or "").encode()) for t in texts]
+    assert len(hashing.fnv1a64(pd.Series([], dtype=object))) == 0
+
+
+def test_near_spans_with_a_banded_distance(spark):
+    rnd = random.Random(7)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("ab ") for _ in range(rnd.randrange(12))) for _ in range(2))
+        for most in (0, 2, 5, 20):
+            d = content._distance(a, b, most)
+            assert d == plain(a, b) if plain(a, b) <= most else d > most
+    rows = [(1, "the red dog and the red dog"), (2, "the redd dig"), (3, None), (4, ""), (5, "quite different words here")]
+    got = {r["id"]: r["patched"] for r in content.patched(spark.createDataFrame(rows, "id int, t string"), "t", "red dog", "cat").collect()}
+    assert got == {1: "the cat and the red dog", 2: "the cat", 3: None, 4: None, 5: None}
+    assert content.parse_patch("<<<< SEARCH\nold\n====\nnew\n>>>> REPLACE") == [("old", "new")]
+
+
+def test_summaries_of_thin_and_odd_texts(spark):
+    t = "Lead here.\nNothing much! The deadline moved to Friday 12 because Anna said so. Plain words?  "
+    rows = [(1, t), (2, "Only one"), (3, None), (4, "")]
+    got = {r["id"]: (r["l0"], r["l1"]) for r in spark.createDataFrame(rows, "id int, t string").select("id", content.lead(F.col("t"), title=F.lit("T")).alias("l0"), content.summary(F.col("t"), F.lit("Doc"), F.lit("T")).alias("l1")).collect()}
+    assert got[1] == ("T: Lead here", "kind=Doc; title=T; key_facts=Lead here | The deadline moved to Friday 12 because Anna said so | Nothing much | Plain words")
+    assert got[2] == ("T: Only one", None) and got[3][1] is None and got[4][0] == "T:"
+
+
+def test_keywords_of_odd_texts(spark):
+    rows = [(1, "beta beta Alpha alpha gamma x"), (2, None), (3, ""), (1, "beta")]
+    out = content.keywords(spark.createDataFrame(rows, "doc_id int, text string"), n=2)
+    assert sorted((r["doc_id"], r["term"], r["n"]) for r in out.collect()) == [(1, "alpha", 2), (1, "beta", 1), (1, "beta", 2)]
+
+
+def test_beams_stay_within_their_tenant(spark):
+    edges = spark.createDataFrame([(1, 0, 10, 1), (1, 10, 11, 1), (2, 0, 20, 1), (2, 10, 29, 1)], "tenant int, parent int, child int, updated_at_ms int")
+    vectors = spark.createDataFrame([(t, n, [1.0, 0.1 * n]) for t in (1, 2) for n in (10, 11, 20, 29)], "tenant int, node int, vector array<double>")
+    out = context.traverse(edges, vectors, spark.createDataFrame([(1, 0), (2, 0)], "tenant int, root int"), [1.0, 0.0])
+    assert sorted((r["tenant"], r["node"], r["depth"]) for r in out.collect()) == [(1, 10, 1), (1, 11, 2), (2, 20, 1)]

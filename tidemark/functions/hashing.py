@@ -16,27 +16,43 @@ CRC64_JONES_POLY = 0xAD93D23594C935A9
 CRC32C_POLY = 0x82F63B78
 
 
-def _columns(values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes as a matrix padded with 0, lengths, nulls) of strings."""
-    null = values.isna().to_numpy()
-    raw = [b"" if n else v.encode() for v, n in zip(values, null)]
-    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    width = int(lengths.max()) if len(raw) else 0
-    matrix = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(len(raw), width) if width else np.zeros((len(raw), 0), np.uint8)
-    return matrix, lengths, null
+class _Bytes:
+    """The bytes of many strings as one buffer, longest first, so that the strings that still have a byte at a position are a prefix. Memory is the
+    strings' own size, whatever their lengths."""
+
+    def __init__(self, values: pd.Series):
+        self.null = values.isna().to_numpy()
+        raw = [b"" if n else v.encode() for v, n in zip(values, self.null)]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.order = np.argsort(-lengths, kind="stable")
+        self.data = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        self.starts, lengths = starts[self.order], lengths[self.order]
+        longest = int(lengths[0]) if len(lengths) else 0
+        self.active = np.searchsorted(-lengths, -np.arange(longest), "left")  # strings longer than each position
+
+    def fold(self, h: np.ndarray, step) -> np.ndarray:
+        """``step(state, byte)`` over the bytes of every string; ``h`` has a row per string."""
+        h = h[self.order].copy()
+        with np.errstate(over="ignore"):
+            for j, k in enumerate(self.active.tolist()):
+                b = self.data[self.starts[:k] + j].astype(np.uint64)
+                h[:k] = step(h[:k], b if h.ndim == 1 else b[:, None])
+        out = np.empty_like(h)
+        out[self.order] = h
+        return out
 
 
 def _signed(h: np.ndarray, null: np.ndarray) -> pd.Series:
     return pd.Series(h.view(np.int64)).astype("Int64").mask(null)
 
 
+def _fnv_step(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (h ^ b) * np.uint64(FNV_PRIME)
+
+
 def fnv1a64(values: pd.Series) -> np.ndarray:
-    m, lengths, _ = _columns(values)
-    h = np.full(len(lengths), FNV_OFFSET, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(m.shape[1]):
-            h = np.where(j < lengths, (h ^ m[:, j]) * np.uint64(FNV_PRIME), h)
-    return h
+    return _Bytes(values).fold(np.full(len(values), FNV_OFFSET, np.uint64), _fnv_step)
 
 
 def _reflected_table(poly: int, bits: int) -> np.ndarray:
@@ -51,11 +67,7 @@ def _reflected_table(poly: int, bits: int) -> np.ndarray:
 
 
 def _crc(values: pd.Series, table: np.ndarray, start: int) -> np.ndarray:
-    m, lengths, _ = _columns(values)
-    h = np.full(len(lengths), start, np.uint64)
-    for j in range(m.shape[1]):
-        h = np.where(j < lengths, table[((h ^ m[:, j]) & np.uint64(255)).astype(np.int64)] ^ (h >> np.uint64(8)), h)
-    return h
+    return _Bytes(values).fold(np.full(len(values), start, np.uint64), lambda h, b: table[((h ^ b) & np.uint64(255)).astype(np.int64)] ^ (h >> np.uint64(8)))
 
 
 def crc64_jones(values: pd.Series) -> np.ndarray:
@@ -89,9 +101,24 @@ def crc32_castagnoli(values: pd.Series) -> pd.Series:
     return _signed(crc32c(values), values.isna().to_numpy())
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def deterministic_embedding(values: pd.Series) -> pd.Series:
-    """16 numbers from hashes of the text, scaled to unit length; equal texts get equal vectors. Null stays null."""
-    parts = np.stack([fnv1a64(pd.Series([None if v is None else f"local:{i}:{v}" for v in values])).astype(np.float64) / 2.0**63 - 1.0 for i in range(16)], axis=1)
-    parts = parts / np.maximum(np.linalg.norm(parts, axis=1, keepdims=True), 1e-12)
-    return pd.Series([None if v is None else list(p) for v, p in zip(values, parts)])
+#: Numbers of a deterministic embedding, and how a hash becomes one (fixed values).
+DIMENSIONS, SPREAD, HALF = 16, 20_001, 10_000
+
+
+def embeddings(values: pd.Series, model: str) -> np.ndarray:
+    """A row per text: hashes of ``model:i:text`` for i from 0, each brought to -1..1, at unit length; in single precision."""
+    heads = fnv1a64(pd.Series([f"{model}:{i}:" for i in range(DIMENSIONS)]))
+    h = _Bytes(values).fold(np.tile(heads, (len(values), 1)), _fnv_step)
+    parts = ((h % np.uint64(SPREAD)).astype(np.float32) - np.float32(HALF)) / np.float32(HALF)
+    norm = np.sqrt((parts * parts).sum(1, dtype=np.float32, keepdims=True))
+    return np.divide(parts, norm, out=parts, where=norm > 0)
+
+
+def deterministic_embedding(text: str, model: str = "local"):
+    """The embedding column of ``text`` under ``model``; equal texts get equal vectors, null stays null."""
+
+    @pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(values: pd.Series) -> pd.Series:
+        return pd.Series([None if n else list(p) for n, p in zip(values.isna(), embeddings(values, model))])
+
+    return embed(text)

@@ -27,15 +27,6 @@ def compact(text: Column, limit: int | None = None) -> Column:
     return c if limit is None else F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…"))).otherwise(c)
 
 
-def stem(word: Column) -> Column:
-    """Plural endings off: ies to y, es and s dropped."""
-    n = F.length(word)
-    return (
-        F.when(word.endswith("ies") & (n > 4), F.concat(F.expr("''"), F.regexp_replace(word, "ies$", "y")))
-        .when(word.endswith("es") & (n > 4), F.regexp_replace(word, "es$", "")).when(word.endswith("s") & ~word.endswith("ss") & (n > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
-    )
-
-
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -64,16 +55,18 @@ def glob(pattern: str) -> str:
 
 
 def byte_range(value: Column, start: int, end: int) -> Column:
-    """Characters from ``start`` to ``end`` inclusive; negative positions count from the end."""
-    n = F.length(value)
+    """Bytes (BINARY) of the UTF-8 text from ``start`` to ``end`` inclusive; negative positions count from the end."""
+    raw = value.cast("binary")
+    n = F.octet_length(raw)
     a = F.greatest(F.lit(0), (n + start) if start < 0 else F.lit(start))
     b = F.least(n - 1, (n + end) if end < 0 else F.lit(end))
-    return F.when((a > b) | (n == 0), F.lit("")).otherwise(F.substring(value, a + 1, b - a + 1))
+    return F.when((a > b) | (n == 0), F.lit(b"")).otherwise(F.substring(raw, a + 1, b - a + 1))
 
 
 def overwrite_at(value: Column, offset: int, patch: str) -> Column:
-    """``patch`` written over ``value`` at ``offset``; a gap is filled with zero bytes."""
-    if not patch:
-        return value
-    padded = F.concat(value, F.repeat(F.lit("\0"), F.greatest(F.lit(0), F.lit(offset) - F.length(value))))
-    return F.concat(F.substring(padded, F.lit(1), F.lit(offset)), F.lit(patch), F.substring(padded, F.lit(offset + len(patch) + 1), F.lit(2**31 - 1)))
+    """Bytes (BINARY) of the text with ``patch`` written over them at byte ``offset``; a gap is filled with zero bytes."""
+    raw, new = value.cast("binary"), patch.encode()
+    if not new:
+        return raw
+    padded = F.concat(raw, F.repeat(F.lit("\0"), F.greatest(F.lit(0), F.lit(offset) - F.octet_length(raw))).cast("binary"))
+    return F.concat(F.substring(padded, F.lit(1), F.lit(offset)), F.lit(new), F.substring(padded, F.lit(offset + len(new) + 1), F.lit(2**31 - 1)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,17 +78,85 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
 
 def keywords(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 12, least: int = 4) -> DataFrame:
-    """``doc_id, term, n`` of the most frequent terms of each document (letters only, ``least`` or more), ties in alphabetical order."""
-    words = docs.select(doc_id, F.explode(F.split(F.lower(text), "[^a-z]+")).alias("term")).filter(F.length("term") >= least)
-    counts = words.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(doc_id).orderBy(F.col("n").desc(), "term")
-    return counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    """``doc_id, term, n`` of the most frequent terms of each row's text (letters only, ``least`` or more), ties in alphabetical order. All words of a text
+    are in its row, so they are counted there, many rows at a time, and nothing is shuffled. Null and empty texts have no terms; repeated rows give theirs each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(at, 1_000)
+                low = pc.utf8_lower(pc.fill_null(batch.column(1).cast(pa.large_string()), ""))
+                split = pc.split_pattern_regex(low, "[^a-z]+")
+                words = split.flatten()
+                owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+                long = pc.greater_equal(pc.utf8_length(words), least)
+                words, owner = words.filter(long), owner[long.to_numpy(zero_copy_only=False)]
+                if not len(words):
+                    continue
+                coded = words.dictionary_encode()
+                place = np.empty(len(coded.dictionary), np.int64)
+                place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))  # alphabetical
+                pairs, counts = np.unique(owner * len(place) + place[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+                doc, word = pairs // len(place), pairs % len(place)
+                order = np.lexsort((word, -counts, doc))
+                doc, word, counts = doc[order], word[order], counts[order]
+                start = np.concatenate([[True], doc[1:] != doc[:-1]])
+                rank = np.arange(len(doc)) - np.maximum.accumulate(np.where(start, np.arange(len(doc)), 0))
+                top = rank < n
+                back = coded.dictionary.take(pa.array(np.argsort(place)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc[top])), back.take(pa.array(word[top])).cast(pa.string()), pa.array(counts[top], pa.int64())], names=["doc_id", "term", "n"])
+
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string"))
+    return out.mapInArrow(run, f"doc_id {dict(out.dtypes)['doc_id']}, term string, n bigint").withColumnRenamed("doc_id", doc_id)
+
+
+#: Words that tell of a change or a time, and what such a sentence is worth beyond its figures and names (fixed values).
+FACT_MARKERS = ["now", "changed", "updated", "corrected", "correction", "instead", "no longer", "moved", "switched", "rescheduled", "deadline", "because", "after", "before"]
+FACT_DIGITS, FACT_MARKER, LEAD_WORDS, FACT_WORDS, FACTS, RICH_SENTENCES, RICH_WORDS = 3, 2, 18, 32, 7, 3, 180
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, trimmed, blank ones left out; a full stop, question or exclamation mark or line end closes one."""
+    return F.filter(F.transform(F.split(text, "[.\\n!?]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def _rest(items: Column) -> Column:
+    """All but the first element."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
+def first_words(text: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
+def fact_score(sentence: Column) -> Column:
+    """How much a sentence tells: figures, names beyond the first word, and markers of change."""
+    names = F.size(F.filter(_rest(F.filter(F.split(sentence, r"\s+"), lambda w: w != "")), lambda w: w.rlike("^[A-Z]")))
+    score = F.when(sentence.rlike("[0-9]"), FACT_DIGITS).otherwise(0) + names
+    for m in FACT_MARKERS:
+        score = score + F.when(F.lower(sentence).contains(m), FACT_MARKER).otherwise(0)
+    return score
+
+
+def lead(text: Column, words: int = LEAD_WORDS, title: Column | None = None) -> Column:
+    """L0: the title and the first sentence, ``words`` words together."""
+    first = F.coalesce(F.try_element_at(sentences(text), F.lit(1)), F.trim(text))
+    return first_words(first if title is None else F.concat(title, F.lit(": "), first), words)
 
-def lead(text: Column, words: int = 18) -> Column:
-    """The first sentence, at most ``words`` words."""
-    first = F.element_at(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?])\s"), 1)
-    return F.array_join(F.slice(F.split(first, " "), 1, words), " ")
+
+def rich(text: Column) -> Column:
+    """Whether a text carries enough for an L1: three sentences or 180 words."""
+    return (F.size(sentences(text)) >= RICH_SENTENCES) | (F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) >= RICH_WORDS)
+
+
+def summary(text: Column, kind: Column, title: Column) -> Column:
+    """L1: the lead and the sentences that tell most, each cut to 32 words; null where the text is too thin. The earlier of equal sentences goes first."""
+    said = sentences(text)
+    scored = F.transform(_rest(said), lambda s, i: F.struct((-fact_score(s)).alias("worth"), i.alias("at"), s.alias("s")))
+    told = F.concat(F.slice(said, 1, 1), F.transform(F.slice(F.array_sort(scored), 1, FACTS), lambda x: x["s"]))
+    facts = F.array_join(F.transform(told, lambda s: first_words(s, FACT_WORDS)), " | ")
+    return F.when(rich(text), F.concat(F.lit("kind="), kind, F.lit("; title="), title, F.lit("; key_facts="), facts))
 
 
 def segments(rows: DataFrame, by: str, idx: str, topic: str, saliency: str, least: float = 0.0) -> DataFrame:
@@ -120,26 +190,58 @@ def compact_postings(postings: DataFrame, by: list[str], at: str, ref: str, buck
     return rows.withColumn("part", part).groupBy(*by, "bucket_ms", "part").agg(F.array_sort(F.collect_list(ref)).alias("refs"))
 
 
-def patch_entity(text: str, search: str, replacement: str, worst: float = 0.45) -> str | None:
+WORST = 0.45
+_PATCH = re.compile(r"<<+ SEARCH\n(.*?)\n?==+\n(.*?)\n?>>+ REPLACE", re.S)
+
+
+def parse_patch(block: str) -> list[tuple[str, str]]:
+    """(search, replacement) of every SEARCH/REPLACE block of a patch."""
+    return [(m[1], m[2]) for m in _PATCH.finditer(block)]
+
+
+def patch_entity(text: str, search: str, replacement: str, worst: float = WORST) -> str | None:
     """``text`` with the span nearest to ``search`` replaced: an exact one, else the run of as many words with the least edit distance relative
-    to its length, at most ``worst``; None if nothing is near."""
+    to its length, at most ``worst``; None if nothing is near. Distances are cut off at what could still be the best."""
     if search in text:
         return text.replace(search, replacement, 1)
     words = list(re.finditer(r"\S+", text))
     k = len(search.split())
-    best = None
-    for i in range(len(words) - k + 1):
+    best, near = None, worst
+    for i in range(len(words) - k + 1 if k else 0):
         s, e = words[i].start(), words[i + k - 1].end()
-        d = _distance(text[s:e], search) / max(len(search), e - s, 1)
-        if best is None or d < best[0]:
-            best = (d, s, e)
-    return text[: best[1]] + replacement + text[best[2] :] if best and best[0] <= worst else None
+        size = max(len(search), e - s, 1)
+        if abs(len(search) - (e - s)) > near * size:
+            continue
+        d = _distance(text[s:e], search, int(near * size)) / size
+        if d <= near and (best is None or d < best[0]):
+            best, near = (d, s, e), d
+    return text[: best[1]] + replacement + text[best[2] :] if best else None
+
+
+def patched(rows: DataFrame, text: str, search: str, replacement: str) -> DataFrame:
+    """``rows`` with ``patched``: exact spans are replaced by expression; only texts without one are looked through for a near span, a batch at a time."""
+    exact = F.col(text).contains(search)
+    done = rows.filter(exact).withColumn("patched", F.concat(F.substring_index(text, search, 1), F.lit(replacement), F.expr(f"substring(`{text}`, length(substring_index(`{text}`, '{search}', 1)) + {len(search)} + 1)")))
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [None if t is None else patch_entity(t, search, replacement) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "patched"])
+
+    return done.unionByName(rows.filter(~F.coalesce(exact, F.lit(False))).mapInArrow(run, f"{types}, patched string"))
 
 
-def _distance(a: str, b: str) -> int:
+def _distance(a: str, b: str, most: int) -> int:
+    """Edit distance, or any number above ``most`` where it is above; only a band of that width is filled."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        new = [most + 1] * (len(b) + 1)
+        new[0] = i if i <= most else most + 1
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        row = new
+        if min(row) > most:
+            return most + 1
     return row[-1]

@@ -28,14 +28,15 @@ def normalised(events: DataFrame) -> DataFrame:
 
 
 def query_events(events: DataFrame, start_ms: int, end_ms: int, max_scan: int = DEFAULT_LIMIT, limit: int | None = None, kinds: list[int] = (), statuses: list[int] = (), min_confidence: float = 0.0, min_importance: float = 0.0, as_of_ms: int | None = None) -> DataFrame:
-    """Per node, newest first: scan at most ``max_scan`` events of [start, end], filter, then keep ``limit``.
+    """Per node, newest first: scan at most ``max_scan`` (1 to 1,000) events of [start, end], filter, then keep ``limit``.
 
-    A null status, confidence or importance fails a filter on it; ``as_of_ms`` drops events whose validity has ended.
+    A null status, confidence or importance fails a filter on it; ``as_of_ms`` (0: the window's end) drops events that happened later and those whose
+    validity has ended by then.
     """
     if end_ms <= start_ms:
         raise ValueError("a context window needs end > start")
     newest = W.partitionBy("tenant", "node_hash").orderBy(F.col("ts_ms").desc(), F.col("delivery_id").desc())
-    out = events.filter(F.col("ts_ms").between(start_ms, end_ms)).withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= max_scan)
+    out = events.filter(F.col("ts_ms").between(start_ms, end_ms)).withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limited(max_scan))
     if kinds:
         out = out.filter(F.col("event_type").isin(list(kinds)))
     if statuses:
@@ -45,7 +46,8 @@ def query_events(events: DataFrame, start_ms: int, end_ms: int, max_scan: int =
     if min_importance > 0:
         out = out.filter(F.col("importance") >= min_importance)
     if as_of_ms is not None:
-        out = out.filter(F.coalesce(F.col("valid_until_ms"), F.lit(0)).isin(0) | (F.col("valid_until_ms") > as_of_ms))
+        at = as_of_ms or end_ms
+        out = out.filter((F.col("ts_ms") <= at) & (F.coalesce(F.col("valid_until_ms"), F.lit(0)).isin(0) | (F.col("valid_until_ms") > at)))
     again = W.partitionBy("tenant", "node_hash").orderBy("_n")
     return out.withColumn("_m", F.row_number().over(again)).filter(F.col("_m") <= limited(limit)).drop("_n", "_m")
 
@@ -108,31 +110,31 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def traverse(edges: DataFrame, vectors: DataFrame, start: DataFrame, query: list[float], max_depth: int = 6, top_k: int = BEAM, child_limit: int = MAX_LIMIT, candidates: int = CANDIDATES, leaf_only: bool = False) -> DataFrame:
-    """Beam search down a tree: ``root, node, depth, score``. ``edges`` is ``parent, child, updated_at_ms``; ``vectors`` ``node, vector``;
-    ``start`` ``root`` (many roots are searched at once). Per depth and root the ``top_k`` children of positive cosine go on; nodes are
-    collected in order of (depth, score desc, node) up to ``candidates``. Each level is a join on the beam (at most roots x top_k rows),
-    checkpointed so that the plan does not grow.
+    """Beam search down a tree: ``tenant, root, node, depth, score``. ``edges`` is ``tenant, parent, child, updated_at_ms``; ``vectors`` ``tenant, node, vector``;
+    ``start`` ``tenant, root`` (many roots are searched at once). Per depth and root the ``top_k`` children of positive cosine go on; nodes are
+    collected in order of (depth, score desc, node) up to ``candidates``. A level joins the beam (at most roots x top_k rows) to its edges, keeps the first ``child_limit`` children
+    of a parent by (time, child), and only then fetches and scores their vectors; it is checkpointed so that the plan does not grow.
     """
     q = F.array(*(F.lit(float(x)) for x in query))
-    ranked = edges.withColumn("_n", F.row_number().over(W.partitionBy("parent").orderBy("updated_at_ms", "child"))).filter(F.col("_n") <= min(child_limit, MAX_LIMIT)).drop("_n", "updated_at_ms")
-    scored = ranked.join(vectors, ranked["child"] == vectors["node"]).select("parent", "child", cosine(F.col("vector"), q).alias("score")).filter("score > 0")
-    scored = cut(scored)
-    beam = start.select("root", F.col("root").alias("node"))
+    beam = start.select("tenant", "root", F.col("root").alias("node"))
+    first = W.partitionBy("tenant", "root", "parent").orderBy("updated_at_ms", "child")
     out = None
     for depth in range(1, min(max_depth, MAX_DEPTH) + 1):
-        layer = beam.join(scored, beam["node"] == scored["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth"), "score")
-        w = W.partitionBy("root").orderBy(F.col("score").desc(), "node")
-        layer = cut(layer.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= min(max(top_k, 1), MAX_LIMIT)).drop("_n"))
+        at = beam.select("tenant", "root", F.col("node").alias("parent"))
+        below = at.join(edges, ["tenant", "parent"]).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= min(child_limit, MAX_LIMIT))
+        scored = below.select("tenant", "root", F.col("child").alias("node")).join(vectors, ["tenant", "node"]).select("tenant", "root", "node", F.lit(depth).alias("depth"), cosine(F.col("vector"), q).alias("score"))
+        w = W.partitionBy("tenant", "root").orderBy(F.col("score").desc(), "node")
+        layer = cut(scored.filter("score > 0").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= min(max(top_k, 1), MAX_LIMIT)).drop("_n"))
         if layer.isEmpty():
             break
         out = layer if out is None else out.unionByName(layer)
-        beam = layer.select("root", "node")
+        beam = layer.select("tenant", "root", "node")
     if out is None:
-        return start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("score")).filter(F.lit(False))
+        return start.select("tenant", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("score")).filter(F.lit(False))
     if leaf_only:
-        out = out.join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    w = W.partitionBy("root").orderBy("depth", F.col("score").desc(), "node")
-    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= min(max(candidates, 1), MAX_LIMIT)).select("root", "node", "depth", "score")
+        out = out.join(edges.select("tenant", F.col("parent").alias("node")).distinct(), ["tenant", "node"], "left_anti")
+    w = W.partitionBy("tenant", "root").orderBy("depth", F.col("score").desc(), "node")
+    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= min(max(candidates, 1), MAX_LIMIT)).select("tenant", "root", "node", "depth", "score")
 
 
 def as_of(rows: DataFrame, keys: list[str], valid_from: str, as_of_ms: int, pick: list[str]) -> DataFrame:
@@ -164,11 +166,12 @@ def compress_events(events: DataFrame, start_ms: int, end_ms: int, max_events: i
 def auto_compress(events: DataFrame, now_ms: int, max_raw: int = 64, max_age_ms: int = 2_592_000_000, keep: int = 32, batch: int = 32) -> DataFrame:
     """Events due for compression: nodes with more than ``max_raw`` events or any older than ``max_age_ms`` give their oldest ``batch``
     events beyond the newest ``keep``."""
-    node = W.partitionBy("tenant", "node_hash")
-    newest = node.orderBy(F.col("ts_ms").desc(), F.col("delivery_id").desc())
-    ranked = events.withColumn("_r", F.row_number().over(newest)).withColumn("_all", F.count(F.lit(1)).over(node)).withColumn("_old", F.min("ts_ms").over(node))
-    due = ranked.filter(((F.col("_all") > max_raw) | (F.col("_old") < now_ms - max_age_ms)) & (F.col("_r") > keep))
-    return due.filter(F.col("_r") > F.col("_all") - batch).drop("_r", "_all", "_old")
+    node = ["tenant", "node_hash"]
+    sizes = events.groupBy(*node).agg(F.count(F.lit(1)).alias("_all"), F.min("ts_ms").alias("_old")).filter((F.col("_all") > max_raw) | (F.col("_old") < now_ms - max_age_ms))
+    # counted from the oldest, so that at most ``batch`` rows of a node are ranked
+    oldest = W.partitionBy(*node).orderBy("ts_ms", "delivery_id")
+    first = events.withColumn("_r", F.row_number().over(oldest)).filter(F.col("_r") <= batch)
+    return first.join(sizes, node).filter(F.col("_r") <= F.col("_all") - keep).select(*events.columns)
 
 
 def node_context(nodes: DataFrame, summaries: DataFrame, compressions: DataFrame, as_of_ms: int, cold_start_ms: int, cold_end_ms: int, level: int = 1) -> DataFrame:

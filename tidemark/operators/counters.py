@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.runtime import cut
+
 #: Roll-up levels in milliseconds, fine to coarse (fixed values).
 LADDER = (1_000, 60_000, 3_600_000, 86_400_000)
 #: Named precisions in milliseconds (fixed values).
@@ -26,14 +28,22 @@ def buckets(increments: DataFrame, precision_ms: int | None = None) -> DataFrame
     return increments.groupBy("family", "key", bucket(F.col("ts_ms"), precision_ms).alias("bucket_ms")).agg(F.sum("amount").alias("amount"))
 
 
+def _value(aggregator: str) -> Column:
+    known = {
+        "events": F.count(F.lit(1)), "len": F.count(F.lit(1)), "min": F.min("amount"), "max": F.max("amount"), "first": F.min_by("amount", "bucket_ms"), "last": F.max_by("amount", "bucket_ms"),
+    }
+    return known.get(aggregator, F.sum("amount"))
+
+
 def read(state: DataFrame, start_ms: int, end_ms: int, aggregator: str = "sum") -> DataFrame:
     """``family, key, value`` over buckets whose start lies in [start, end]. ``sum``, ``count`` and unknown names add amounts up; ``events``
     and ``len`` count buckets; ``min``, ``max``, ``first`` and ``last`` look at bucket amounts."""
-    rows = state.filter(F.col("bucket_ms").between(start_ms, end_ms)).groupBy("family", "key")
-    value = {
-        "events": F.count(F.lit(1)), "len": F.count(F.lit(1)), "min": F.min("amount"), "max": F.max("amount"), "first": F.min_by("amount", "bucket_ms"), "last": F.max_by("amount", "bucket_ms"),
-    }.get(aggregator, F.sum("amount"))
-    return rows.agg(value.alias("value"))
+    return read_many(state, start_ms, end_ms, [aggregator]).withColumnRenamed(aggregator, "value")
+
+
+def read_many(state: DataFrame, start_ms: int, end_ms: int, aggregators: list[str]) -> DataFrame:
+    """``family, key`` and a column for each of the aggregators of :func:`read`, in one pass."""
+    return state.filter(F.col("bucket_ms").between(start_ms, end_ms)).groupBy("family", "key").agg(*(_value(a).alias(a) for a in aggregators))
 
 
 def detail(state: DataFrame, start_ms: int, end_ms: int, count: int | None = None) -> DataFrame:
@@ -113,16 +123,29 @@ def debug(state: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
 
 
 def ladder(increments: DataFrame) -> DataFrame:
-    """``family, key, level_ms, bucket_ms, amount`` at every level: each level is summed from the one below, so the raw rows are
-    read and shuffled once."""
-    level = buckets(increments, LADDER[0])
-    out = level.withColumn("level_ms", F.lit(LADDER[0]).cast("bigint"))
-    for ms in LADDER[1:]:
-        level = level.groupBy("family", "key", bucket(F.col("bucket_ms"), ms).alias("bucket_ms")).agg(F.sum("amount").alias("amount"))
-        out = out.unionByName(level.withColumn("level_ms", F.lit(ms).cast("bigint")))
+    """``family, key, level_ms, bucket_ms, amount`` at every level. Each level is summed from the one below, which is checkpointed, so the raw rows are
+    read and shuffled once whatever is asked of the result."""
+    level, out = cut(buckets(increments, LADDER[0])), None
+    for ms in LADDER:
+        if ms != LADDER[0]:
+            level = cut(level.groupBy("family", "key", bucket(F.col("bucket_ms"), ms).alias("bucket_ms")).agg(F.sum("amount").alias("amount")))
+        cells = level.withColumn("level_ms", F.lit(ms).cast("bigint"))
+        out = cells if out is None else out.unionByName(cells)
     return out.select("family", "key", "level_ms", "bucket_ms", "amount")
 
 
+def cells_of(increments: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """The cells of the ladder that tile [start, end], ``level_ms`` 0 for raw edges, straight from the increments: one filtered scan and one aggregate,
+    where no ladder is stored."""
+    pieces = cover(start_ms, end_ms)
+    ts, level = F.col("ts_ms"), F.when(F.lit(False), F.lit(0))
+    for ms, a, b in pieces:
+        level = level.when((ts >= a) & (ts < b), F.lit(ms))
+    rows = increments.filter(ts.between(start_ms, end_ms)).withColumn("level_ms", level.cast("bigint"))
+    at = F.when(F.col("level_ms") > 0, ts - F.pmod(ts, F.greatest(F.col("level_ms"), F.lit(1)))).otherwise(ts)
+    return rows.groupBy("family", "key", "level_ms", at.alias("bucket_ms")).agg(F.sum("amount").alias("amount"))
+
+
 def cover(start_ms: int, end_ms: int) -> list[tuple[int, int, int]]:
     """(level, first bucket, end) pieces that tile [start, end] with the coarsest whole buckets; level 0 pieces are raw edges."""
     pieces, lo, hi = [], start_ms, end_ms + 1

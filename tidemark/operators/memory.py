@@ -91,8 +91,13 @@ class Memory:
         last = self.log.groupBy("key").agg(F.max_by(F.struct(*[c for c in self.log.columns if c != "key"]), "seq").alias("r"))
         return last.select("key", "r.*").filter("not deleted").select(*self.log.columns)
 
+    def histories(self) -> DataFrame:
+        """The log with ``event``: ``add``, ``update`` or ``delete``, by what each key was before."""
+        before = F.lag("deleted").over(W.partitionBy("key").orderBy("seq"))
+        return self.log.withColumn("event", F.when(F.col("deleted"), "delete").when(F.coalesce(before, F.lit(True)), "add").otherwise("update"))
+
     def history(self, key: str) -> DataFrame:
-        return self.log.filter(F.col("key") == key).withColumn("event", F.when(F.col("deleted"), "delete").when(F.row_number().over(W.orderBy("seq")) == 1, "add").otherwise("update"))
+        return Memory(self.log.filter(F.col("key") == key)).histories()
 
     def search(self, terms: list[str], limit: int = 10) -> DataFrame:
         """The live records with the largest share of the terms, newest first among equals."""

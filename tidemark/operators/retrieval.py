@@ -156,9 +156,11 @@ def without_forgotten(records: DataFrame, tombstones: DataFrame, key: str, seq:
 
 def admit_raw(events: DataFrame, compressed: DataFrame, n: int = 256) -> DataFrame:
     """Nodes that have compressions keep their newest ``n`` raw events; others keep all."""
-    c = compressed.select("tenant", "node_hash").distinct().withColumn("_c", F.lit(True))
-    newest = W.partitionBy("tenant", "node_hash").orderBy(F.col("ingestion_time_ms").desc_nulls_last(), F.col("delivery_id").desc())
-    return events.join(c, ["tenant", "node_hash"], "left").withColumn("_n", F.row_number().over(newest)).filter(F.col("_c").isNull() | (F.col("_n") <= n)).drop("_c", "_n")
+    node = ["tenant", "node_hash"]
+    there = compressed.select(*node).distinct()
+    newest = W.partitionBy(*node).orderBy(F.col("ingestion_time_ms").desc_nulls_last(), F.col("delivery_id").desc())
+    cut_down = events.join(there, node, "left_semi").withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
+    return events.join(there, node, "left_anti").unionByName(cut_down)
 
 
 def statistics(rows: DataFrame, by: list[str], value: str, at: str) -> DataFrame:

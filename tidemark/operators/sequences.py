@@ -39,10 +39,13 @@ def query(rows: DataFrame, start_ms: int, end_ms: int, count: int, filters: list
     return scanned.drop("_n").filter(condition(list(filters)))
 
 
-def batch_query(rows: DataFrame, specs: DataFrame) -> DataFrame:
+def batch_query(rows: DataFrame, specs: DataFrame, slice_ms: int = 86_400_000) -> DataFrame:
     """Many windows at once. ``specs`` has ``spec_id, key, start_ms, end_ms, count`` and optionally ``min_duration``; the result has the
-    rows of each spec with ``spec_id``. An equi-join on the key with the range as residual; the scan limit is per spec, the filter after it."""
-    hit = rows.join(specs, "key").filter(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms")))
+    rows of each spec with ``spec_id``. A spec is put into every slice of time it touches, so the equi-join on (key, slice) brings together only what lies near, also for a
+    hot key; the range is checked exactly afterwards. The scan limit is per spec, the filter after it."""
+    slices = F.sequence(F.floor(F.col("start_ms") / slice_ms), F.greatest(F.floor(F.col("end_ms") / slice_ms), F.floor(F.col("start_ms") / slice_ms)))
+    spread = specs.withColumn("_slice", F.explode(slices))
+    hit = rows.withColumn("_slice", F.floor(F.col("ts_ms") / slice_ms)).join(spread, ["key", "_slice"]).filter(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms")))
     w = W.partitionBy("spec_id").orderBy("ts_ms", "gid")
     out = hit.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("count"))
     if "min_duration" in specs.columns:

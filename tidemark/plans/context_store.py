@@ -14,6 +14,7 @@ ORACLE: dict[str, str] = {}
 
 # 2022-01-03 to 2022-01-10, in epoch milliseconds
 START, END = 1_641_168_000_000, 1_641_772_800_000
+MID = (START + END) // 2
 
 
 def query(sql: str | None = None):
@@ -36,9 +37,9 @@ E = """SELECT * REPLACE (coalesce(nullif(ts_ms, 0), nullif(ingestion_time_ms, 0)
 
 @query(f"""SELECT delivery_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant, node_hash ORDER BY n) AS m FROM (
     SELECT *, row_number() OVER (PARTITION BY tenant, node_hash ORDER BY ts_ms DESC, delivery_id DESC) AS n FROM ({E}) WHERE ts_ms BETWEEN {START} AND {END})
-  WHERE n <= 20 AND event_type IN (1, 2) AND status IN (0, 1, 2) AND confidence >= CAST(0.5 AS FLOAT) AND (coalesce(valid_until_ms, 0) = 0 OR valid_until_ms > {END})) WHERE m <= 5""")
+  WHERE n <= 20 AND event_type IN (1, 2) AND status IN (0, 1, 2) AND confidence >= CAST(0.5 AS FLOAT) AND ts_ms <= {MID} AND (coalesce(valid_until_ms, 0) = 0 OR valid_until_ms > {MID})) WHERE m <= 5""")
 def context_query_events(spark, d):
-    return context.query_events(_events(spark, d), START, END, 20, 5, [1, 2], [0, 1, 2], 0.5, as_of_ms=END).select("delivery_id")
+    return context.query_events(_events(spark, d), START, END, 20, 5, [1, 2], [0, 1, 2], 0.5, as_of_ms=MID).select("delivery_id")
 
 
 @query(f"SELECT delivery_id FROM ({E}) QUALIFY event_id_hash IS NULL OR event_id_hash = 0 OR row_number() OVER (PARTITION BY tenant, node_hash, event_id_hash ORDER BY delivery_id) = 1")
@@ -112,14 +113,27 @@ def embedding_cosine(spark, d):
     return e.select(F.col("vec_id").alias("a"), "embedding").join(b, "a").select("a", "b", F.round(context.cosine(F.col("embedding"), F.col("vb")), 6).alias("cos"))
 
 
-@query()
+_LAYER = """SELECT tenant, root, node, {depth} AS depth, score FROM (
+    SELECT b.tenant, b.root, e.child AS node, x.score FROM {beam} b JOIN (SELECT *, row_number() OVER (PARTITION BY tenant, parent ORDER BY updated_at_ms, child) AS n FROM e) e ON e.tenant = b.tenant AND e.parent = b.node AND e.n <= 1000
+    JOIN x ON x.node = e.child WHERE x.score > 0) QUALIFY row_number() OVER (PARTITION BY tenant, root ORDER BY score DESC, node) <= 5"""
+
+
+@query(f"""WITH q AS (SELECT embedding AS v0 FROM embeddings ORDER BY vec_id LIMIT 1),
+  x AS (SELECT vec_id AS node, list_dot_product(embedding::DOUBLE[], v0::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v0::DOUBLE[], v0::DOUBLE[]))) AS score FROM embeddings, q),
+  e AS (SELECT label % 2 AS tenant, -1 - label AS parent, vec_id AS child, vec_id AS updated_at_ms FROM embeddings UNION ALL SELECT t, vec_id % 97, vec_id, vec_id FROM embeddings, (VALUES (0), (1)) v(t) WHERE vec_id > 97),
+  r AS (SELECT DISTINCT label % 2 AS tenant, -1 - label AS root, -1 - label AS node FROM embeddings),
+  l1 AS ({_LAYER.format(depth=1, beam='r')}), l2 AS ({_LAYER.format(depth=2, beam='l1')}), l3 AS ({_LAYER.format(depth=3, beam='l2')})
+  SELECT tenant, root, node, depth, round(score, 6) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)
+  QUALIFY row_number() OVER (PARTITION BY tenant, root ORDER BY depth, score DESC, node) <= 64""")
 def context_traverse_tree(spark, d):
-    """From every label's node down two levels of vectors: label -> first vectors -> their followers."""
+    """From every label's node down three levels of vectors, labels belonging to two tenants."""
     e = table(spark, d, "embeddings")
-    first = e.select((-1 - F.col("label")).cast("bigint").alias("parent"), F.col("vec_id").alias("child"), F.col("vec_id").alias("updated_at_ms"))
-    nxt = e.select((F.col("vec_id") % 97).alias("parent"), F.col("vec_id").alias("child"), F.col("vec_id").alias("updated_at_ms")).filter("child > 97")
-    vectors = e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
-    roots = e.select((-1 - F.col("label")).cast("bigint").alias("root")).distinct()
+    label = F.col("label").cast("bigint")
+    first = e.select((label % 2).alias("tenant"), (-1 - label).alias("parent"), F.col("vec_id").alias("child"), F.col("vec_id").alias("updated_at_ms"))
+    tenants = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("tenant")
+    nxt = e.filter("vec_id > 97").select(tenants, (F.col("vec_id") % 97).alias("parent"), F.col("vec_id").alias("child"), F.col("vec_id").alias("updated_at_ms"))
+    vectors = e.select(tenants, F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
+    roots = e.select((label % 2).alias("tenant"), (-1 - label).alias("root")).distinct()
     q = e.orderBy("vec_id").select("embedding").first()[0]  # the query vector
     return context.traverse(first.unionByName(nxt), vectors, roots, q, 3, 5).withColumn("score", F.round("score", 6))
 
@@ -167,7 +181,11 @@ def retrieval_time_decay(spark, d):
     return _refs(spark, d).select("query_id", "ref_hash", F.round(retrieval.time_decay(F.lit(END).cast("bigint"), F.col("updated_at_ms")), 6).alias("decay"))
 
 
-@query()
+def _unit(x: str) -> str:
+    return f"least(1e0, greatest(0e0, coalesce(CAST({x} AS DOUBLE), 0e0)))"
+
+
+@query(f"""SELECT query_id, ref_hash, round({_unit(f"(1e0 - 0.18e0 - 0.22e0) * (0.55e0 * {_unit('score')} + 0.35e0 * {_unit('sparse_score / (sparse_score + 5)')} + 0.10e0 * 0.5e0) + 0.18e0 * {_unit('time_score')} + 0.22e0 * 0.3e0")}, 6) AS final FROM ({R})""")
 def retrieval_hybrid_score(spark, d):
     s = F.col("sparse_score") / (F.col("sparse_score") + 5)
     return _refs(spark, d).select("query_id", "ref_hash", retrieval.hybrid(F.col("score"), s, F.lit(0.5), F.col("time_score"), F.lit(0.3)).alias("final"))
@@ -280,13 +298,28 @@ def content_token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", text.whitespace_tokens(t).alias("spaced"), text.byte_tokens(t).alias("bytes"), text.word_tokens(t).alias("words"))
 
 
-@query()
-def content_lead_summary(spark, d):
-    return table(spark, d, "documents").select("doc_id", content.lead(F.col("text")).alias("l0"))
+W18 = "array_to_string(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')[:{1}], ' ')"
+SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.\n!?]'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+MARKERS = "['now', 'changed', 'updated', 'corrected', 'correction', 'instead', 'no longer', 'moved', 'switched', 'rescheduled', 'deadline', 'because', 'after', 'before']"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, resource_type, text, {SENT} AS said FROM documents),
+  f AS (SELECT doc_id, said, unnest(said[2:]) AS s, generate_subscripts(said[2:], 1) AS pos FROM d),
+  k AS (SELECT doc_id, s, pos, CASE WHEN regexp_matches(s, '[0-9]') THEN 3 ELSE 0 END + len(list_filter(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')[2:], lambda w: regexp_matches(w, '^[A-Z]')))
+      + 2 * len(list_filter({MARKERS}, lambda m: contains(lower(s), m))) AS worth FROM f),
+  t AS (SELECT doc_id, string_agg({W18.format('s', 32)}, ' | ' ORDER BY worth DESC, pos) AS facts FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, pos) <= 7) GROUP BY 1)
+  SELECT doc_id, {W18.format("coalesce(resource_type, 'none') || ': ' || coalesce(said[1], trim(text))", 18)} AS l0,
+    CASE WHEN len(said) >= 3 OR len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 180 THEN 'kind=' || coalesce(lang, '') || '; title=' || coalesce(resource_type, 'none') || '; key_facts='
+      || {W18.format('said[1]', 32)} || coalesce(' | ' || facts, '') END AS l1 FROM d LEFT JOIN t USING (doc_id)""")
+def content_summaries(spark, d):
+    """L0 and L1 of every document."""
+    t, title = F.col("text"), F.coalesce("resource_type", F.lit("none"))
+    return table(spark, d, "documents").select("doc_id", content.lead(t, title=title).alias("l0"), content.summary(t, F.coalesce("lang", F.lit("")), title).alias("l1"))
 
 
 @query()
 def content_embedding(spark, d):
+    """Held against a plain program in the tests."""
     return table(spark, d, "documents").select("doc_id", hashing.deterministic_embedding("text").alias("vector"))
 
 
@@ -301,10 +334,13 @@ def content_episodes(spark, d):
     return content.episodes(c, "session_id", "ts_ms", "role", "tool_name", ["row_id"])
 
 
-@query()
+@query(f"""WITH e AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts_ms, row_id ROWS UNBOUNDED PRECEDING) AS episode FROM ({C})),
+  s AS (SELECT *, lag(tool_name) OVER (PARTITION BY session_id, episode ORDER BY ts_ms, row_id) AS before FROM e WHERE tool_name IS NOT NULL AND episode > 0),
+  g AS (SELECT session_id, episode, string_agg(tool_name, '>' ORDER BY ts_ms, row_id) FILTER (before IS NULL OR before <> tool_name) AS signature FROM s GROUP BY 1, 2)
+  SELECT signature, count(*) AS support, count(DISTINCT session_id) AS sessions FROM g GROUP BY 1 HAVING count(*) >= 2 AND len(string_split(signature, '>')) >= 1 ORDER BY support DESC, signature LIMIT 64""")
 def content_skills(spark, d):
     c = table(spark, d, "chat_message").filter("session_id is not null and ts_ms is not null").withColumn("role", F.lower(F.trim("role")))
-    return content.skills(content.episodes(c, "session_id", "ts_ms", "role", "tool_name", ["row_id"]), "session_id", 2, 2)
+    return content.skills(content.episodes(c, "session_id", "ts_ms", "role", "tool_name", ["row_id"]), "session_id", 2, 1)
 
 
 @query(f"""WITH g AS (SELECT session_id, role, pos, pos - row_number() OVER (PARTITION BY session_id, role ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, row_id) AS pos FROM ({C})))

@@ -424,11 +424,12 @@ _name_query("key_copy_refused", STATE, lambda s: kv.copy(s, *_ends(s)))
 _name_query("key_copy_replace", f"SELECT * FROM ({STATE}) WHERE key <> {B} UNION ALL SELECT * REPLACE ({B} AS key) FROM ({STATE}) WHERE key = {A}", lambda s: kv.copy(s, *_ends(s), replace=True))
 
 
-@query("SELECT doc_id, strlen(text) AS bytes, substr(text, 5, 11) AS part, right(text, 6) AS ending, concat(left(text, 10), 'xyz', substr(text, 14)) AS patched FROM documents")
+@query("""SELECT doc_id, strlen(text) AS bytes, substr(h, 9, 22) AS part, right(h, 12) AS ending, concat(left(h, 20), '78C3BC7A', substr(h, 29)) AS patched FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)""")
 def string_ranges(spark, d):
+    """Ranges of a text's bytes, in hexadecimal."""
     t = F.col("text")
     return table(spark, d, "documents").select(
-        "doc_id", F.octet_length(t).alias("bytes"), text.byte_range(t, 4, 14).alias("part"), text.byte_range(t, -6, -1).alias("ending"), text.overwrite_at(t, 10, "xyz").alias("patched"))
+        "doc_id", F.octet_length(t).alias("bytes"), F.hex(text.byte_range(t, 4, 14)).alias("part"), F.hex(text.byte_range(t, -6, -1)).alias("ending"), F.hex(text.overwrite_at(t, 10, "xüz")).alias("patched"))
 
 
 def _unsigned(h: str) -> str:

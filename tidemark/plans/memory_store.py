@@ -113,14 +113,35 @@ def retrieval_index_groups(spark, d):
     return t.select("node_hash", retrieval.index_filter(F.col("terms"), [["kind:2", "status:1"]]).alias("one_of"), retrieval.index_filter(F.col("terms"), [["kind:7"], ["kind:8", "status:-1"]]).alias("any_of"))
 
 
-@query()
-def memory_facade(spark, d):
-    """Node names as memories: some updated, some deleted, one scope forgotten, then searched."""
+def _memory(spark, d):
+    """Node names as memories: all added, those ending in 4 written again, those ending in 7 deleted, one scope forgotten."""
     n = table(spark, d, "context_node").select(F.col("node_hash").cast("string").alias("key"), F.col("kind").cast("string").alias("scope"), F.coalesce("l0", "canonical_name").alias("text"), F.col("last_event_time_ms").alias("updated_at_ms"))
-    log = n.withColumn("seq", F.xxhash64("key") % 1000).withColumn("deleted", F.lit(False))
+    log = n.withColumn("seq", F.lit(1).cast("bigint")).withColumn("deleted", F.lit(False))
     m = memory.Memory(log.select("seq", "key", "scope", "text", "updated_at_ms", "deleted"))
-    m = m.delete(n.filter("key like '%7'")).forget("3")
-    return m.get_all().groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    return m.add(n.filter("key like '%4'").withColumn("text", F.concat(F.lit("again "), "text"))).delete(n.filter("key like '%7'")).forget("3")
+
+
+KEPT = """SELECT CAST(node_hash AS VARCHAR) AS key, CAST(kind AS VARCHAR) AS scope, CASE WHEN CAST(node_hash AS VARCHAR) LIKE '%4' THEN 'again ' ELSE '' END || coalesce(l0, canonical_name) AS text, last_event_time_ms AS updated_at_ms
+  FROM context_node WHERE CAST(node_hash AS VARCHAR) NOT LIKE '%7' AND coalesce(kind <> 3, true)"""
+
+
+@query(KEPT)
+def memory_get_all(spark, d):
+    return _memory(spark, d).get_all().select("key", "scope", "text", "updated_at_ms")
+
+
+@query(f"""SELECT key, text, match FROM (SELECT *, round((CAST(contains(lower(text), 'again') AS INT) + CAST(contains(lower(text), 'team') AS INT)) / 2.0, 6) AS match FROM ({KEPT})) WHERE match > 0
+  ORDER BY match DESC, updated_at_ms DESC NULLS LAST, key LIMIT 10""")
+def memory_search(spark, d):
+    return _memory(spark, d).search(["again", "team"], 10).select("key", "text", F.round("match", 6).alias("match"))
+
+
+@query("""WITH n AS (SELECT CAST(node_hash AS VARCHAR) AS key, kind FROM context_node), k AS (SELECT key, CASE WHEN key LIKE '%4' THEN 2 ELSE 1 END + CASE WHEN key LIKE '%7' OR coalesce(kind = 3, false) THEN 1 ELSE 0 END AS changes,
+    CASE WHEN key LIKE '%7' OR coalesce(kind = 3, false) THEN 'delete' WHEN key LIKE '%4' THEN 'update' ELSE 'add' END AS last FROM n) SELECT key, changes, last FROM k""")
+def memory_histories(spark, d):
+    """Of every key the number of its changes and the last one."""
+    h = _memory(spark, d).histories()
+    return h.groupBy("key").agg(F.count(F.lit(1)).alias("changes"), F.max_by("event", "seq").alias("last"))
 
 
 @query(r"""WITH u AS (SELECT session_id AS conv_id, row_id, ts_ms, coalesce(content, '') AS text, regexp_replace(coalesce(content, ''), '^\s+|\s+$', '', 'g') AS said FROM chat_message WHERE session_id IS NOT NULL AND lower(trim(role)) = 'user'),
@@ -136,10 +157,14 @@ def follow_up_rewrite(spark, d):
     return retrieval.rewrite_follow_up(c).select("conv_id", "turn.row_id", "rewritten")
 
 
-@query()
+@query("""SELECT node_hash, CASE WHEN contains(l0, 'the') THEN regexp_replace(l0, 'the', 'a certain') END AS patched FROM context_node WHERE contains(coalesce(l0, 'the'), 'the')""")
 def entity_patch(spark, d):
-    """Every node summary with the span nearest to a phrase replaced."""
-    fix = F.udf(lambda t: None if t is None else content.patch_entity(t, "shared state", "common state"), "string")
-    return table(spark, d, "context_node").select("node_hash", fix("l0").alias("patched"))
+    """Node summaries that hold a phrase, with its first place replaced; near spans are held against a plain program in the tests."""
+    n = table(spark, d, "context_node").select("node_hash", "l0").filter("coalesce(l0, 'the') like '%the%'")
+    return content.patched(n, "l0", "the", "a certain").select("node_hash", "patched")
 
 
+@query()
+def entity_patch_near(spark, d):
+    """Every node summary with the span nearest to a phrase replaced."""
+    return content.patched(table(spark, d, "context_node").select("node_hash", "l0"), "l0", "shared state", "common state").select("node_hash", "patched")

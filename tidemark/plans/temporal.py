@@ -81,10 +81,13 @@ def feature_append(spark, d):
     return series.append(None, _hourly(spark, d), max_points=None)
 
 
-@query(f"""SELECT key, ts_ms, arg_min(value, seq) AS value, min(seq) AS seq FROM ({H}) GROUP BY key, ts_ms""")
+@query(f"""WITH h AS ({H}), old AS (SELECT key, ts_ms, arg_max(value, seq) AS value, max(seq) AS seq FROM h WHERE seq % 3 = 0 GROUP BY ALL),
+  new AS (SELECT key, ts_ms, arg_min(value, seq) AS value, min(seq) AS seq FROM h WHERE seq % 3 <> 0 GROUP BY ALL)
+  SELECT key, ts_ms, CASE WHEN old.seq IS NOT NULL THEN old.value ELSE new.value END AS value, coalesce(old.seq, new.seq) AS seq FROM old FULL JOIN new USING (key, ts_ms)""")
 def feature_append_first(spark, d):
+    """Points that exist stay; of new ones the first write counts."""
     rows = _hourly(spark, d)
-    return series.append(rows.limit(0), rows, "first", None)
+    return series.append(series.append(None, rows.filter("seq % 3 = 0"), max_points=None), rows.filter("seq % 3 <> 0"), "first", None)
 
 
 @query(f"""WITH h AS ({H}), old AS (SELECT key, ts_ms, arg_max(value, seq) AS value, max(seq) AS seq FROM h WHERE seq % 3 = 0 GROUP BY ALL),
@@ -160,13 +163,9 @@ def control_count(spark, d):
     return counters.read(counters.buckets(_increments(spark, d, True)), START, END)
 
 
-@query(f"""SELECT family, key, count(*) AS events, min(amount) AS min, max(amount) AS max, arg_min(amount, bucket_ms) AS first, arg_max(amount, bucket_ms) AS last FROM ({B}) WHERE {BIN} GROUP BY ALL""")
+@query(f"""SELECT family, key, count(*) AS events, CAST(sum(amount) AS BIGINT) AS sum, min(amount) AS min, max(amount) AS max, arg_min(amount, bucket_ms) AS first, arg_max(amount, bucket_ms) AS last FROM ({B}) WHERE {BIN} GROUP BY ALL""")
 def control_query(spark, d):
-    state = counters.buckets(_increments(spark, d), HOUR)
-    out = counters.read(state, START, END, "events").withColumnRenamed("value", "events")
-    for a in ("min", "max", "first", "last"):
-        out = out.join(counters.read(state, START, END, a).withColumnRenamed("value", a), ["family", "key"])
-    return out
+    return counters.read_many(counters.buckets(_increments(spark, d), HOUR), START, END, ["events", "sum", "min", "max", "first", "last"])
 
 
 @query(f"SELECT family, key, bucket_ms, CAST(amount AS VARCHAR) AS amount FROM ({B}) WHERE {BIN} QUALIFY row_number() OVER (PARTITION BY family, key ORDER BY bucket_ms) <= 3")
@@ -239,8 +238,15 @@ def rollup_ladder(spark, d):
 
 @query(f"SELECT family, key, CAST(sum(amount) AS BIGINT) AS value FROM ({C}) WHERE ts_ms BETWEEN {START + 12345} AND {END + 67890} GROUP BY ALL")
 def rollup_window_sum(spark, d):
+    cells = counters.cells_of(_increments(spark, d), START + 12_345, END + 67_890)
+    return cells.groupBy("family", "key").agg(F.sum("amount").alias("value"))
+
+
+@query(f"SELECT family, key, CAST(sum(amount) AS BIGINT) AS value FROM ({C}) WHERE ts_ms BETWEEN {START + 54321} AND {END + 98765} GROUP BY ALL")
+def rollup_stored_window_sum(spark, d):
+    """The same from a ladder that has been built before: coarse cells inside, raw rows at the edges."""
     inc = _increments(spark, d)
-    return counters.window_sum(counters.ladder(inc), inc, START + 12_345, END + 67_890)
+    return counters.window_sum(counters.ladder(inc), inc, START + 54_321, END + 98_765)
 
 
 @query(f"""WITH b AS (SELECT family, key, CAST(sum(amount) AS BIGINT) AS amount FROM ({C}) WHERE ts_ms >= {START} AND ts_ms < {END} GROUP BY family, key, ts_ms - ts_ms % {DAY}),
@@ -305,17 +311,29 @@ def decision_pacing(spark, d):
     return spend.select("day", decisions.pacing(F.col("s").cast("double"), F.lit(300.0)).alias("factor"))
 
 
-@query()
+STEPS = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS n FROM ({A})"
+
+
+@query(f"""WITH RECURSIVE r AS ({STEPS}), z AS (SELECT *, coalesce(amount, 0) <= 1000 AS allowed, CASE WHEN coalesce(amount, 0) <= 1000 THEN CAST(coalesce(amount, 0) AS DOUBLE) ELSE 0.0 END AS level FROM r WHERE n = 1
+    UNION ALL SELECT r.*, z.level + coalesce(r.amount, 0) <= 1000, CASE WHEN z.level + coalesce(r.amount, 0) <= 1000 THEN z.level + coalesce(r.amount, 0) ELSE z.level END FROM z JOIN r ON r.user_id = z.user_id AND r.n = z.n + 1)
+  SELECT * EXCLUDE (n) FROM z""")
 def decision_budget_gate(spark, d):
     return decisions.budget_gate(_attempts(spark, d), ["user_id"], 1000.0, "amount")
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS delta FROM ({STEPS})), z AS (SELECT *, true AS allowed, CAST(greatest(delta, 0) AS DOUBLE) AS level FROM r WHERE n = 1
+    UNION ALL SELECT r.*, r.delta < 0 OR z.level + 1 <= 3, CASE WHEN r.delta < 0 THEN greatest(z.level - 1, 0) WHEN z.level + 1 <= 3 THEN z.level + 1 ELSE z.level END FROM z JOIN r ON r.user_id = z.user_id AND r.n = z.n + 1)
+  SELECT * EXCLUDE (n) FROM z""")
 def decision_slots(spark, d):
     delta = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
     return decisions.slots(_attempts(spark, d).withColumn("delta", delta), ["user_id"], 3, "delta")
 
 
+@query(f"SELECT *, count(*) OVER (PARTITION BY user_id, {DAYOF} ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS used, greatest(0, 5 - used) AS remaining FROM ({A})")
+def decision_quota_remaining(spark, d):
+    return decisions.running_cap(_attempts(spark, d), ["user_id"], 5).drop("allowed").withColumn("remaining", decisions.remaining(5, F.col("used")))
+
+
 @query(f"""WITH r AS (SELECT * FROM ({A}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC) <= 10),
   g AS (SELECT user_id, event_type AS id, CAST(sum(amount) AS BIGINT) AS total FROM r GROUP BY ALL)
   SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY total DESC, id) <= 2""")

@@ -20,7 +20,9 @@ def validate(batch: DataFrame, ledger: DataFrame, max_in_flight: int | None = No
     """``batch`` plus ``reason``: null for records to apply, else ``missing_position``, ``committed``, ``duplicate`` or ``backpressure`` (more than
     ``max_in_flight`` beyond the committed position)."""
     key = ["source", "part"]
-    known = batch.join(ledger.select(*key, "committed"), key, "left").withColumn("committed", F.coalesce("committed", F.lit(-1)))
+    there = ledger.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "committed")
+    # a source without parts has the part null, which is a part like any other
+    known = batch.join(there, F.col("source").eqNullSafe(F.col("_s")) & F.col("part").eqNullSafe(F.col("_p")), "left").drop("_s", "_p").withColumn("committed", F.coalesce("committed", F.lit(-1)))
     again = F.row_number().over(W.partitionBy(*key, "position").orderBy(F.monotonically_increasing_id())) > 1
     reason = F.when(F.col("position").isNull() | F.col("source").isNull(), "missing_position").when(F.col("position") <= F.col("committed"), "committed").when(F.col("_again"), "duplicate")
     if max_in_flight is not None:
@@ -36,7 +38,8 @@ def advance(ledger: DataFrame, applied: DataFrame) -> DataFrame:
 
 def lag(ledger: DataFrame, heads: DataFrame) -> DataFrame:
     """``source, lag``: the largest distance of a part's head position from what is committed."""
-    return heads.join(ledger, ["source", "part"], "left").groupBy("source").agg(F.max(F.col("head") - F.coalesce("committed", F.lit(-1))).alias("lag"))
+    there = ledger.select(F.col("source").alias("_s"), F.col("part").alias("_p"), "committed")
+    return heads.join(there, F.col("source").eqNullSafe(F.col("_s")) & F.col("part").eqNullSafe(F.col("_p")), "left").groupBy("source").agg(F.max(F.col("head") - F.coalesce("committed", F.lit(-1))).alias("lag"))
 
 
 class Store:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 class AcceptedCapProcessor(StatefulProcessor):
-    """Compare, then increment: per key the first ``limit`` attempts are allowed; one number of state per key."""
+    """Compare, then increment: per key the first ``limit`` attempts are allowed, in order of (time, seq) within a micro-batch; one number of state per key."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -21,11 +21,11 @@ class AcceptedCapProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n = self.used.get()[0] if self.used.exists() else 0
-        for part in rows:
-            part = part.sort_values(["ts_ms", "seq"])
-            allowed = [(n + i) < self.limit for i in range(len(part))]
-            n = min(self.limit, n + len(part))
-            yield pd.DataFrame({"key": [key[0]] * len(part), "seq": part["seq"].to_numpy(), "allowed": allowed})
+        # a key's rows of one micro-batch may come in several parts; they are put in order together
+        whole = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "seq"])
+        allowed = [(n + i) < self.limit for i in range(len(whole))]
+        n = min(self.limit, n + len(whole))
+        yield pd.DataFrame({"key": [key[0]] * len(whole), "seq": whole["seq"].to_numpy(), "allowed": allowed})
         self.used.update((n,))
 
     def close(self) -> None:
