@@ -95,10 +95,11 @@ def children(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.select("tenant", "parent_hash", F.col("node_hash").alias("child_hash"), F.col("last_event_time_ms").alias("updated_at_ms"))
 
 
-def in_request_order(requests: DataFrame, rows: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """``req_id, pos, ...``: the rows of each request's ``refs`` (ARRAY), repeats and zeros dropped, request order kept."""
-    asked = requests.select("req_id", F.posexplode("refs").alias("pos", key)).filter(F.col(key) != 0).groupBy("req_id", key).agg(F.min("pos").alias("pos"))
-    hit = asked.join(rows, key)
+def in_request_order(requests: DataFrame, rows: DataFrame, key: str, limit: int | None = None, on: list[str] = ()) -> DataFrame:
+    """``req_id, pos, ...``: the rows of each request's ``refs`` (ARRAY), repeats and zeros dropped, request order kept. ``on`` are further columns that request
+    and row must share."""
+    asked = requests.select("req_id", *on, F.posexplode("refs").alias("pos", key)).filter(F.col(key) != 0).groupBy("req_id", *on, key).agg(F.min("pos").alias("pos"))
+    hit = asked.join(rows, [*on, key])
     return hit.withColumn("_n", F.row_number().over(W.partitionBy("req_id").orderBy("pos"))).filter(F.col("_n") <= limited(limit)).drop("_n")
 
 

@@ -60,6 +60,27 @@ def distinct_values(changes: DataFrame, start_ms: int, end_ms: int, precision_ms
     return rows.select("key", "value").distinct().groupBy("key").agg(F.count("value").alias("value"))
 
 
+def alive(state: DataFrame, increments: DataFrame, now_ms: int) -> DataFrame:
+    """The state without the counters that have expired: a write with ``ttl_ms`` puts off the end of its whole counter to its time plus that; the last such write counts."""
+    until = increments.groupBy("family", "key").agg(F.max_by(F.col("ts_ms") + F.col("ttl_ms"), F.when(F.col("ttl_ms").isNotNull(), F.col("seq"))).alias("_until"))
+    return state.join(until.filter(F.col("_until") <= now_ms).select("family", "key"), ["family", "key"], "left_anti")
+
+
+#: Distinct values of a bucket above which it is kept as a sketch.
+SKETCH_ABOVE = 4_096
+
+
+def distinct_mixed(changes: DataFrame, start_ms: int, end_ms: int, precision_ms: int, most: int = SKETCH_ABOVE, lg_k: int = 12) -> DataFrame:
+    """``key, value, sketched``: distinct values over the buckets that start in [start, end]. Exact while every bucket holds at most ``most`` values; once one holds
+    more it is a sketch, and all buckets of the key are merged into one estimate."""
+    once = changes.select("key", bucket(F.col("ts_ms"), precision_ms).alias("b"), "value").filter(F.col("b").between(start_ms, end_ms) & F.col("value").isNotNull()).distinct()
+    sizes = once.groupBy("key", "b").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.groupBy("key").agg((F.max("n") > most).alias("sketched"))
+    exact = once.select("key", "value").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("exact"))
+    rough = once.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("value", lg_k)).alias("rough"))
+    return large.join(exact, "key").join(rough, "key").select("key", F.when(F.col("sketched"), F.col("rough")).otherwise(F.col("exact")).alias("value"), "sketched")
+
+
 def distinct_sketches(changes: DataFrame, precision_ms: int, lg_k: int = 12) -> DataFrame:
     """``key, bucket_ms, sketch``: a mergeable HyperLogLog per bucket, for sets too large to keep."""
     return changes.groupBy("key", bucket(F.col("ts_ms"), precision_ms).alias("bucket_ms")).agg(F.hll_sketch_agg("value", lg_k).alias("sketch"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_POINTS = 10_000
+#: Points of one key beyond which a write is refused (fixed value).
+REFUSE_ABOVE = 100_000
 
 
 def numeric(value: Column) -> Column:
@@ -41,6 +43,13 @@ def append(series: DataFrame, new: DataFrame, policy: str = "upsert", max_points
     return trim(out, max_points) if max_points else out
 
 
+def refused(series: DataFrame | None, new: DataFrame, most: int = REFUSE_ABOVE) -> DataFrame:
+    """``key, points`` of the keys whose write is refused: with it they would hold more than ``most`` times."""
+    key = ["key", "ts_ms"]
+    both = new.select(*key) if series is None else series.select(*key).unionByName(new.select(*key)).join(new.select("key").distinct(), "key", "left_semi")
+    return both.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") > most)
+
+
 def trim(series: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
     """The newest ``max_points`` points of each key. The rank filter is pushed below the shuffle as a group limit."""
     w = W.partitionBy("key").orderBy(F.col("ts_ms").desc())
