@@ -13,33 +13,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.runtime import fresh_name, repartition_for
 
 DAY_MS = 86_400_000
 
 
-def _order(df: DataFrame, keys: list, ts: str, seq: str):
-    return W.partitionBy(*keys).orderBy(ts, seq)
-
-
 def once(df: DataFrame, keys: list[str], event: str, ts: str, seq: str) -> DataFrame:
     """``df`` plus BOOLEAN ``counts``: whether the row is the first of its event id under its key (rows without id always count)."""
-    first = F.row_number().over(_order(df, [*keys, event], ts, seq)) == 1
-    return df.withColumn("counts", F.col(event).isNull() | first)
+    at = fresh_name(df.columns, "__place")
+    told = ordered.running(df, [*keys, event], [ts, seq], F.lit(1), at, "count")
+    return told.withColumn("counts", F.col(event).isNull() | (F.col(at) == 1)).drop(at)
+
+
+def _per_day(df: DataFrame, keys: list[str], ts: str, day: bool) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows with their UTC day if wanted, the keys of a running value, columns to drop afterwards)."""
+    if not day:
+        return df, keys, []
+    name = fresh_name(df.columns, "__day")
+    return df.withColumn(name, F.col(ts) - F.pmod(F.col(ts), F.lit(DAY_MS))), [*keys, name], [name]
 
 
 def running_cap(df: DataFrame, keys: list[str], limit: int, ts: str = "ts_ms", seq: str = "seq", amount: Column | None = None, day: bool = True) -> DataFrame:
     """Increment, then compare: ``used`` is the (weighted) sum per key and UTC day up to and with the row, ``allowed`` is used <= limit."""
-    part = [*keys, (F.col(ts) - F.pmod(F.col(ts), F.lit(DAY_MS)))] if day else keys
-    w = _order(df, part, ts, seq).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = df.withColumn("used", F.sum(amount if amount is not None else F.lit(1)).over(w))
+    rows, by, extra = _per_day(df, keys, ts, day)
+    out = ordered.running(rows, by, [ts, seq], amount if amount is not None else F.lit(1), "used").drop(*extra)
     return out.withColumn("allowed", F.col("used") <= limit)
 
 
 def accepted_cap(df: DataFrame, keys: list[str], limit: int, ts: str = "ts_ms", seq: str = "seq", day: bool = True) -> DataFrame:
     """Compare, then increment: a blocked attempt does not count, so exactly the first ``limit`` attempts are allowed."""
-    part = [*keys, (F.col(ts) - F.pmod(F.col(ts), F.lit(DAY_MS)))] if day else keys
-    return df.withColumn("allowed", F.row_number().over(_order(df, part, ts, seq)) <= limit)
+    rows, by, extra = _per_day(df, keys, ts, day)
+    at = fresh_name(rows.columns, "__place")
+    return ordered.running(rows, by, [ts, seq], F.lit(1), at, "count").withColumn("allowed", F.col(at) <= limit).drop(at, *extra)
+
+
+def counted_impressions(df: DataFrame, keys: list[str], event: str, limit: int, ts: str = "ts_ms", seq: str = "seq") -> DataFrame:
+    """A cap that counts every event id once: ``counts`` as :func:`once`, ``used`` the day's ids so far, ``allowed``."""
+    return running_cap(once(df, keys, event, ts, seq), keys, limit, ts, seq, F.col("counts").cast("int"))
 
 
 def trailing_count(df: DataFrame, keys: list[str], window_ms: int, ts: str = "ts_ms") -> DataFrame:
@@ -57,8 +68,9 @@ def rate_limited(df: DataFrame, keys: list[str], window_ms: int, limit: int, ts:
 
 def debounced(df: DataFrame, keys: list[str], quiet_ms: int, ts: str = "ts_ms", seq: str = "seq") -> DataFrame:
     """Allowed only after a quiet time; every attempt, allowed or not, restarts it."""
-    before = F.lag(ts).over(_order(df, keys, ts, seq))
-    return df.withColumn("allowed", before.isNull() | (F.col(ts) - before > quiet_ms))
+    before = fresh_name(df.columns, "__before")
+    told = ordered.lagged(df, keys, [ts, seq], F.col(ts), before)
+    return told.withColumn("allowed", F.col(before).isNull() | (F.col(ts) - F.col(before) > quiet_ms)).drop(before)
 
 
 def trailing_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int, ts: str = "ts_ms") -> DataFrame:

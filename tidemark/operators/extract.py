@@ -70,7 +70,7 @@ def entities(messages: DataFrame, role: str, said: str, keep: list[str]) -> Data
         found = F.concat(found, F.when(speaker == who, matches).otherwise(F.array().cast("array<struct<entity_type:string,state:string>>")))
     evidence = F.when((speaker == "tool") & (F.trim(F.col(said)) != ""), F.array(F.struct(F.lit("tool_evidence").alias("entity_type"), text.compact(F.col(said), EVIDENCE_CHARS).alias("state"))))
     found = F.concat(found, F.coalesce(evidence, F.array().cast("array<struct<entity_type:string,state:string>>")))
-    return messages.filter(F.col(said).isNotNull()).select(*keep, F.explode(F.array_distinct(found)).alias("e")).select(*keep, "e.entity_type", F.trim(F.regexp_replace("e.state", r"\s+", " ")).alias("state")).filter("state <> ''").distinct()
+    return messages.filter(F.col(said).isNotNull()).select(*keep, F.explode(F.array_distinct(found)).alias("e")).select(*keep, "e.entity_type", F.trim(F.regexp_replace("e.state", r"\s+", " ")).alias("state")).filter(F.col("state").rlike("(?U)\\S")).distinct()
 
 
 def _typed(kind: str):

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import glob
+from tidemark.operators import ordered
 from tidemark.runtime import cut, repartition_for
 
 
@@ -180,7 +181,7 @@ def conditional(log: DataFrame) -> DataFrame:
 
 def get_set(log: DataFrame) -> DataFrame:
     """Each write with the value it replaced (``old``)."""
-    return log.withColumn("old", F.lag("value").over(W.partitionBy("key").orderBy("seq")))
+    return ordered.lagged(log, ["key"], ["seq"], F.col("value"), "old")
 
 
 INT64 = 2**63 - 1

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.operators.retrieval import text_match
 
 #: Entity type by the pattern that states it, case-insensitive; group 1 is the value (fixed values).
@@ -22,8 +23,8 @@ RULES = {
 def lifecycle(log: DataFrame, uri: str, content: str, seq: str, removed: str) -> DataFrame:
     """Per uri: its last record with ``version`` (changes of content so far), ``stale`` (the last record removed it) and ``records``."""
     h = F.xxhash64(F.coalesce(content, F.lit("")))
-    w = W.partitionBy(uri).orderBy(seq)
-    told = log.withColumn("_h", h).withColumn("_new", F.when(F.lag("_h").over(w).isNull() | (F.lag("_h").over(w) != F.col("_h")), 1).otherwise(0))
+    rows = ordered.lagged(log.withColumn("_h", h), [uri], [seq], F.col("_h"), "_before")
+    told = rows.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_before") != F.col("_h")), 1).otherwise(0))
     return told.groupBy(uri).agg(F.sum("_new").alias("version"), F.max_by(removed, seq).alias("stale"), F.count(F.lit(1)).alias("records"), F.max(seq).alias(seq))
 
 

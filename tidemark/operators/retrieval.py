@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import understanding
+from tidemark.operators import ordered, understanding
 from tidemark.runtime import cut, repartition_for
 
 # fixed values of the score formulas
@@ -135,11 +135,10 @@ def compact_latest(log: DataFrame, key: Column, updated: str, seq: str) -> DataF
 
 def keyed_truth(log: DataFrame, key: str, rank: str, seq: str) -> DataFrame:
     """History of keyed writes with ``accepted`` (its rank is no lower than any before) and ``current`` (the last accepted)."""
-    w = W.partitionBy(key).orderBy(seq)
-    top = F.max(rank).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = log.withColumn("accepted", top.isNull() | (F.col(rank) >= top))
-    last = F.max(F.when(F.col("accepted"), F.col(seq))).over(W.partitionBy(key))
-    return rows.withColumn("current", F.col(seq) == last)
+    told = ordered.running(log, [key], [seq], F.col(rank), "_top", "max", inclusive=False)
+    rows = told.withColumn("accepted", F.col("_top").isNull() | (F.col(rank) >= F.col("_top"))).drop("_top")
+    last = rows.filter("accepted").groupBy(F.col(key).alias("_k")).agg(F.max(seq).alias("_last"))
+    return rows.join(last, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("current", F.col(seq) == F.col("_last")).drop("_k", "_last")
 
 
 def visible(records: DataFrame, cutoffs: DataFrame, now_ms: int, scope: list[str]) -> DataFrame:

@@ -251,7 +251,7 @@ def _rules_sql() -> str:
     ]
     found = " UNION ALL ".join(f"SELECT row_id, '{t}' AS entity_type, unnest(regexp_extract_all(content, '{p}')) AS state FROM chat_message WHERE lower(trim(role)) = '{r}'" for r, t, p in parts)
     tool = r"SELECT row_id, 'tool_evidence', CASE WHEN length(c) > 220 THEN rtrim(left(c, 219)) || '…' ELSE c END FROM (SELECT row_id, trim(regexp_replace(content, '\s+', ' ', 'g')) AS c FROM chat_message WHERE lower(trim(role)) = 'tool' AND trim(content) <> '')"
-    return rf"SELECT DISTINCT row_id, entity_type, trim(regexp_replace(state, '\s+', ' ', 'g')) AS state FROM ({found} UNION ALL {tool}) WHERE trim(regexp_replace(state, '\s+', ' ', 'g')) <> ''"
+    return rf"SELECT DISTINCT row_id, entity_type, trim(regexp_replace(state, '\s+', ' ', 'g')) AS state FROM ({found} UNION ALL {tool}) WHERE regexp_matches(state, '[^\s\x{{00A0}}]')"
 
 
 @query(_rules_sql())

@@ -182,9 +182,13 @@ def control_change_distinct(spark, d):
     return counters.distinct_values(_changes(spark, d), START, END, HOUR)
 
 
-@query()
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, true AS within_five_percent FROM events")
 def control_change_sketch(spark, d):
-    return counters.distinct_estimate(counters.distinct_sketches(_changes(spark, d), DAY), START, END)
+    """Estimates from daily sketches over everything, held against the exact numbers."""
+    c = _changes(spark, d)
+    exact = c.groupBy("key").agg(F.count_distinct("value").alias("n"))
+    out = counters.distinct_estimate(counters.distinct_sketches(c, DAY), 0, 2**60).join(exact, "key")
+    return out.select("key", (F.abs(F.col("value") - F.col("n")) <= 0.05 * F.col("n")).alias("within_five_percent"))
 
 
 @query(f"""SELECT *, CAST(sum(amount) OVER (PARTITION BY family, key ORDER BY ts_ms RANGE BETWEEN {DAY} PRECEDING AND 0 PRECEDING) AS BIGINT) AS value FROM ({C})""")
@@ -311,6 +315,13 @@ def decision_pacing(spark, d):
     return spend.select("day", decisions.pacing(F.col("s").cast("double"), F.lit(300.0)).alias("factor"))
 
 
+@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id, amount ORDER BY ts_ms, seq) = 1 OR amount IS NULL AS counts FROM ({A}))
+  SELECT *, CAST(sum(CAST(counts AS INT)) OVER (PARTITION BY user_id, {DAYOF} ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, used <= 2 AS allowed FROM o""")
+def decision_counted_impressions(spark, d):
+    """Dedup and cap together: an id counts once."""
+    return decisions.counted_impressions(_attempts(spark, d), ["user_id"], "amount", 2)
+
+
 STEPS = f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms, seq) AS n FROM ({A})"
 
 
