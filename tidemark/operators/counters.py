@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.runtime import cut
 
 #: Roll-up levels in milliseconds, fine to coarse (fixed values).
@@ -106,17 +107,15 @@ def set_and_get(increments: DataFrame, window_ms: int, precision_ms: int | None
     With ``uuid`` a repeat of an id within five minutes of event time (batch replay has no processing time) adds nothing but still reads.
     Buckets count by their start, as everywhere. The trailing sum is a range window; within equal buckets, by ``seq``.
     """
-    at = bucket(F.col("ts_ms"), precision_ms)
-    rows = increments.withColumn("_b", at).withColumn("_amount", F.col("amount"))
+    rows = increments.withColumn("_b", bucket(F.col("ts_ms"), precision_ms)).withColumn("_amount", F.col("amount"))
     if uuid:
-        before = F.lag("ts_ms").over(W.partitionBy("family", "key", uuid).orderBy("ts_ms", "seq"))
-        again = F.col(uuid).isNotNull() & before.isNotNull() & (F.col("ts_ms") - before <= DEDUP_MS)
-        rows = rows.withColumn("_amount", F.when(again, 0).otherwise(F.col("amount")))
-    part = W.partitionBy("family", "key")
+        told = ordered.lagged(rows, ["family", "key", uuid], ["ts_ms", "seq"], F.col("ts_ms"), "_before")
+        again = F.col(uuid).isNotNull() & F.col("_before").isNotNull() & (F.col("ts_ms") - F.col("_before") <= DEDUP_MS)
+        rows = told.withColumn("_amount", F.when(again, 0).otherwise(F.col("amount"))).drop("_before")
     # all earlier buckets of the window, and the own bucket up to this row
-    earlier = F.coalesce(F.sum("_amount").over(part.orderBy("_b").rangeBetween(-window_ms, -1)), F.lit(0))
-    own = F.sum("_amount").over(W.partitionBy("family", "key", "_b").orderBy("ts_ms", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumn("value", earlier + own).drop("_b", "_amount")
+    rows = ordered.trailing(rows, ["family", "key"], "_b", window_ms, F.col("_amount"), "_earlier", lag=1)
+    rows = ordered.running(rows, ["family", "key", "_b"], ["ts_ms", "seq"], F.col("_amount"), "_own")
+    return rows.withColumn("value", F.col("_earlier") + F.col("_own")).drop("_b", "_amount", "_earlier", "_own")
 
 
 def manager(state: DataFrame, op: str, start_ms: int | None = None, end_ms: int | None = None, at: list[int] | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def counted_impressions(df: DataFrame, keys: list[str], event: str, limit: int,
 
 def trailing_count(df: DataFrame, keys: list[str], window_ms: int, ts: str = "ts_ms") -> DataFrame:
     """``df`` plus ``recent``: rows of the key within the trailing window, the row itself and equal times included."""
-    return df.withColumn("recent", F.count(F.lit(1)).over(W.partitionBy(*keys).orderBy(ts).rangeBetween(-window_ms, 0)))
+    return ordered.trailing(df, keys, ts, window_ms, F.lit(1), "recent")
 
 
 def suppressed(df: DataFrame, keys: list[str], window_ms: int, threshold: int, ts: str = "ts_ms") -> DataFrame:

@@ -82,3 +82,22 @@ def lagged(df: DataFrame, by: list[str], order: list, value: Column, name: str)
         return _carried(inner, ends, by, part, before, "__carry").withColumn(name, F.when(F.col(first), F.col("__carry.v")).otherwise(F.col(name))).drop("__carry", part, first)
 
     return _split(df, by, lambda rows: rows.withColumn(name, over(by)), sliced)
+
+
+def trailing(df: DataFrame, by: list[str], ts: str, window: int, amount: Column, name: str, lag: int = 0) -> DataFrame:
+    """``df`` plus ``name``: the sum of ``amount`` over the rows of the same ``by`` with ``ts`` in [ts - window, ts - lag] of the row; 0 where there is none.
+
+    For a hot key every row enters at its time, leaves after the window, and reads what is in: a running sum over three rows each."""
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.coalesce(F.sum(amount).over(W.partitionBy(*by).orderBy(ts).rangeBetween(-window, -lag)), F.lit(0)))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        at, kind, change = (fresh_name([*rows.columns, name], x) for x in ("__at", "__kind", "__change"))
+        enters = rows.select(*by, F.col(ts).alias(at), F.lit(0).alias(kind), amount.alias(change))
+        leaves = rows.select(*by, (F.col(ts) + window - lag + 1).alias(at), F.lit(0).alias(kind), (-amount).alias(change))
+        reads = rows.withColumn(at, F.col(ts) - lag).withColumn(kind, F.lit(1))
+        told = running(reads.unionByName(enters.unionByName(leaves), allowMissingColumns=True), by, [at, kind], F.col(change), name)
+        return told.filter(F.col(kind) == 1).withColumn(name, F.coalesce(name, F.lit(0))).drop(at, kind, change)
+
+    return _split(df, by, plain, sliced)
