@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +160,97 @@ def summary(text: Column, kind: Column, title: Column) -> Column:
     return F.when(rich(text), F.concat(F.lit("kind="), kind, F.lit("; title="), title, F.lit("; key_facts="), facts))
 
 
+#: What makes a message worth keeping, and its worth; small talk is worth nothing (fixed values).
+FILLER = "hi|hello|hey|thanks|thank you|ok|okay|cool|great|sounds good".split("|")
+SALIENT = [
+    (r"\b(recursion|base case|merge sort|algorithm|complexity|efficiency|dynamic programming|graph|game)\b", 0.55), (r"\b(prefer|favorite|approved|budget|plan|correction|instead|current|remember|important|moved|moving|located|location|live|lives)\b", 0.45),
+    (r"\b(is|means|because|therefore|warning|avoid|must|should|cannot|can|require|requires|required|blocked|blocker)\b", 0.2), (r"\b(\d{2,}|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|may|june|july|august|september|october|november|december)\b", 0.1),
+]
+SALIENT_BASE, SALIENT_LONG, LONG_WORDS, LEAST_SALIENT, MOST_SEGMENTS = 0.2, 0.15, 8, 0.5, 12
+#: Topics by their words, the first that fits (fixed values).
+TOPICS = [
+    ("recursion", "recursion|recursive|base case|merge sort|call stack"), ("game_algorithm", "game|minimax|alpha beta|pathfinding|npc"), ("preference", "prefer|favorite|likes|loves"),
+    ("location", "moved|moving|located|location|live|lives|staying"), ("approval_budget", "approved|approval|budget|cost|purchase"), ("incident_runbook", "incident|runbook|alert|outage|rollback|postmortem"),
+    ("task_decision", "decision|decided|owner|owns|deadline|checklist|reviewer|require|requires|required"), ("metric_sla", "metric|latency|p95|p99|qps|sla|error rate"), ("plan_status", "plan|current|status|going to|will"), ("correction", "correction|instead|wrong|changed|updated"),
+]
+WORD = "[a-z0-9_]+"
+
+
+def saliency(text: Column) -> Column:
+    """How much a message is worth keeping, 0 to 1; 0 for small talk, null and less than eight letters."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    plain = F.trim(F.regexp_replace(low, "[^a-z0-9 ]+", ""))
+    score = F.lit(SALIENT_BASE)
+    for pattern, worth in SALIENT:
+        score = score + F.when(low.rlike(pattern), worth).otherwise(0.0)
+    score = score + F.when(F.regexp_count(low, F.lit(WORD)) >= LONG_WORDS, SALIENT_LONG).otherwise(0.0)
+    return F.when(plain.isin(FILLER) | (F.length(plain) < 8), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 6))
+
+
+def topic(text: Column) -> Column:
+    """A message's topic: the first whose words it holds, else its first word of five letters or more, else ``general``."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for name, words in TOPICS:
+        out = out.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words.split("|")]), name)
+    return out.otherwise(F.coalesce(F.nullif(F.regexp_extract(low, "([a-z0-9_]{5,})", 1), F.lit("")), F.lit("general")))
+
+
+def topic_segments(rows: DataFrame, by: str, idx: str, text: str, most: int = MOST_SEGMENTS) -> DataFrame:
+    """``by, topic, ranges, n, saliency``: the salient messages of every conversation by topic, as contiguous ranges of their places (``first-last`` joined by commas), the ``most``
+    segments of highest mean saliency, then by topic."""
+    told = rows.select(by, idx, topic(F.col(text)).alias("topic"), saliency(F.col(text)).alias("_s"))
+    runs = segments(told, by, idx, "topic", "_s", LEAST_SALIENT)
+    spans = F.array_sort(F.collect_list(F.struct("first", F.concat_ws("-", F.col("first").cast("string"), F.col("last").cast("string")).alias("r"))))
+    whole = runs.groupBy(by, "topic").agg(F.array_join(F.transform(spans, lambda x: x["r"]), ",").alias("ranges"), F.sum("n").alias("n"), F.round(F.sum(F.col("saliency") * F.col("n")) / F.sum("n"), 6).alias("saliency"))
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.col("saliency").desc(), "topic"))
+    return whole.withColumn("_p", place).filter(F.col("_p") <= most).drop("_p")
+
+
+CHUNK_TOKENS, OVERLAP_TOKENS = 240, 24
+_PIECE = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]+")
+
+
+def token_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """``doc_id, chunk, first_token, n_tokens, content`` of every document with white space compacted: pieces of at most ``size`` words and marks, ending at a sentence past their half where there is one, each
+    starting ``overlap`` before the end of the one before. Null and blank texts have none."""
+
+    def pieces(t: str) -> Iterator[tuple[int, int, str]]:
+        spans = [m.span() for m in _PIECE.finditer(t)]
+        at = 0
+        while at < len(spans):
+            end = min(len(spans), at + size)
+            if end < len(spans):
+                stop = next((i for i in range(end - 1, at + size // 2, -1) if t[spans[i - 1][1] : spans[i - 1][1] + 1] in (".", "!", "?", ";") or t[spans[i - 1][0] : spans[i - 1][1]] in (".", "!", "?", ";")), None)
+                end = stop or end
+            yield at, end - at, t[spans[at][0] : spans[end - 1][1]]
+            if end >= len(spans):
+                return
+            at = max(end - overlap, at + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        for b in batches:
+            rows = [(d, n, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, p in enumerate(pieces(" ".join((t or "").split())))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "chunk", "first_token", "n_tokens", "content"])
+
+    return docs.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, "doc_id bigint, chunk int, first_token bigint, n_tokens bigint, content string")
+
+
+def budgeted_terms(terms: DataFrame, record: str, operation: str, term: str, at: str, priorities: list[str], per_record: int = 10, per_operation: int = 128) -> DataFrame:
+    """``terms`` with ``kept``: of every record its first ``per_record`` distinct terms by priority (the place of the term's prefix in ``priorities``, then ``at``), and of every operation at most ``per_operation``
+    of those, in order of record and place. A term repeated in its record counts once, at its first place."""
+    rank = F.lit(len(priorities))
+    for i, p in reversed(list(enumerate(priorities))):
+        rank = F.when(F.col(term).startswith(p), i).otherwise(rank)
+    once = terms.filter(F.coalesce(term, F.lit("")) != "").groupBy(operation, record, term).agg(F.min(at).alias(at))
+    own = once.withColumn("_r", F.row_number().over(W.partitionBy(operation, record).orderBy(rank, at, term)))
+    fits = own.filter(F.col("_r") <= per_record).withColumn("_o", F.row_number().over(W.partitionBy(operation).orderBy(record, "_r")))
+    return own.select(operation, record, term, at).join(fits.filter(F.col("_o") <= per_operation).select(operation, record, term, F.lit(True).alias("_k")), [operation, record, term], "left").select(
+        operation, record, term, at, F.coalesce("_k", F.lit(False)).alias("kept"))
+
+
 def segments(rows: DataFrame, by: str, idx: str, topic: str, saliency: str, least: float = 0.0) -> DataFrame:
     """Contiguous runs of one topic: ``by, topic, first, last, n, saliency`` (mean), rows below ``least`` left out beforehand."""
     w = W.partitionBy(by, topic).orderBy(idx)

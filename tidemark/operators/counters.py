@@ -101,6 +101,14 @@ def select_first_last(writes: DataFrame, which: str) -> DataFrame:
     return writes.groupBy("key").agg(pick(F.struct("value", "occur_time_ms"), at).alias("r")).select("key", "r.value", "r.occur_time_ms")
 
 
+def selection_at(writes: DataFrame, which: str, now_ms: int) -> DataFrame:
+    """:func:`select_first_last` with expiry: a write at time 0 happened when it was made (``made_ms``), and one with ``ttl_ms`` above 0 puts off the end of its key; keys whose last such end has passed
+    by ``now_ms`` have no value."""
+    told = writes.withColumn("occur_time_ms", F.when(F.coalesce("occur_time_ms", F.lit(0)) == 0, F.col("made_ms")).otherwise(F.col("occur_time_ms")))
+    until = told.filter("ttl_ms > 0").groupBy("key").agg(F.max_by(F.col("made_ms") + F.col("ttl_ms"), "seq").alias("_until"))
+    return select_first_last(told, which).join(until.filter(F.col("_until") <= now_ms).select("key"), "key", "left_anti")
+
+
 def set_and_get(increments: DataFrame, window_ms: int, precision_ms: int | None = None, uuid: str | None = None) -> DataFrame:
     """Every increment with ``value``: the counter's sum over the trailing window after it, in write order of equal times.
 

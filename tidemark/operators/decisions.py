@@ -133,8 +133,12 @@ def slots(df: DataFrame, keys: list[str], limit: int, delta: str, ts: str = "ts_
     return fold(df, keys, ts, seq, delta, lambda held, d: (held + d, True) if d < 0 and held + d >= 0 else ((0, True) if d < 0 else ((held + d, True) if held + d <= limit else (held, False))))
 
 
-def last_instances(df: DataFrame, uid: str, last: int, top_k: int, features: str, ts: str = "ts_ms") -> DataFrame:
-    """Per uid, the ``top_k`` features by total weight over its last instances: ``features`` is ARRAY<STRUCT<id, v1>>."""
-    recent = df.withColumn("_n", F.row_number().over(W.partitionBy(uid).orderBy(F.col(ts).desc()))).filter(F.col("_n") <= last)
-    flat = recent.select(uid, F.explode(features).alias("f")).groupBy(uid, F.col("f.id").alias("id")).agg(F.sum("f.v1").alias("total"))
-    return flat.withColumn("_n", F.row_number().over(W.partitionBy(uid).orderBy(F.col("total").desc(), "id"))).filter(F.col("_n") <= top_k).drop("_n")
+def last_instances(df: DataFrame, uid: str, last: int, top_k: int, features: str, ts: str = "ts_ms", where: Column | None = None, slot: int | None = None) -> DataFrame:
+    """Per uid, the ``top_k`` features by total weight over its last instances that meet ``where`` (action, table and the like): ``features`` is
+    ARRAY<STRUCT<id, v1>>, with ``slot`` in it if one slot is asked for."""
+    kept = df if where is None else df.filter(where)
+    recent = kept.withColumn("_n", F.row_number().over(W.partitionBy(uid).orderBy(F.col(ts).desc()))).filter(F.col("_n") <= last)
+    flat = recent.select(uid, F.explode(features).alias("f"))
+    flat = flat if slot is None else flat.filter(F.col("f.slot") == slot)
+    sums = flat.groupBy(uid, F.col("f.id").alias("id")).agg(F.sum("f.v1").alias("total"))
+    return sums.withColumn("_n", F.row_number().over(W.partitionBy(uid).orderBy(F.col("total").desc(), "id"))).filter(F.col("_n") <= top_k).drop("_n")

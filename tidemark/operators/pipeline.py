@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import understanding
-from tidemark.operators.retrieval import in_scope
+from tidemark.operators.retrieval import W_DENSE, W_NODE, W_SPARSE, in_scope
 from tidemark.runtime import repartition_for
 
 # -- fixed values ---------------------------------------------------------------------------------------------------
@@ -208,6 +208,35 @@ def packing_key(score: Column, boost: Column, tokens: Column, compression: Colum
     return [boosted.desc(), (boosted / F.greatest(F.lit(1), tokens) * dense).desc(), score.desc()]
 
 
+LANES = ["primary_hybrid", "auxiliary_keyword_graph"]
+
+
+def scan_lanes(records: DataFrame, query: str, path: str = "path", terms: str = "terms", kind: str = "kind", dense: Column | None = None, node: Column | None = None, per_node: int = 1024, at: str = "seq") -> DataFrame:
+    """Candidates of any record type in two lanes: ``records..., origin_score, keyword_score, recall_path``. A record enters the primary lane if its hybrid score of text, embedding
+    (``dense``) and node is above 0, and the auxiliary lane if its node path, index terms, kind and text together hold a word of the query. Of every node only the latest ``per_node``
+    records by ``at`` are looked at."""
+    wanted = list(dict.fromkeys(understanding.plan(query).terms))
+    newest = W.partitionBy("node_hash").orderBy(F.col(at).desc())
+    rows = records.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= per_node).drop("_n")
+
+    def share(text: Column) -> Column:
+        small = understanding.Text(text).small
+        hits = F.lit(0)
+        for t in wanted:
+            hits = hits + F.when(small.contains(t), 1).otherwise(0)
+        return F.coalesce(hits / max(len(wanted), 1), F.lit(0.0))
+
+    zero = F.lit(0.0)
+    clamp01 = lambda c: F.least(F.lit(1.0), F.greatest(zero, F.coalesce(c, zero)))
+    words = understanding.terms_of(F.coalesce("text", F.lit("")))
+    said = F.size(F.array_intersect(F.array_distinct(words), F.array(*map(F.lit, wanted)))) if wanted else F.lit(0)
+    hybrid = F.round(W_DENSE * clamp01(dense if dense is not None else zero) + W_SPARSE * share(F.col("text")) + W_NODE * clamp01(node if node is not None else zero), 6)
+    graph = F.round(share(F.concat_ws(" ", F.array_join(path, " "), F.array_join(F.array_sort(terms), " "), kind, "text")), 6)
+    told = rows.withColumn("keyword_score", said)
+    lanes = [told.withColumn("origin_score", score).withColumn("recall_path", F.lit(lane)) for lane, score in zip(LANES, (hybrid, graph))]
+    return lanes[0].unionByName(lanes[1]).filter("origin_score > 0")
+
+
 # -- pack ------------------------------------------------------------------------------------------------------------
 @dataclass
 class Budgets:

@@ -225,9 +225,11 @@ def retrieval_pack(spark, d):
     return retrieval.pack(_refs(spark, d), "query_id", "score", "ref_hash", "token_estimate", 300, 10_000, 0.2).select("query_id", "ref_hash", "selected")
 
 
-@query(f"SELECT ref_type, count(*) AS count, CAST(sum(token_estimate) AS BIGINT) AS sum, round(avg(token_estimate), 6) AS avg, max(token_estimate) AS max FROM ({R}) GROUP BY 1")
+@query(f"""SELECT ref_type, count(*) AS count, CAST(sum(token_estimate) AS BIGINT) AS sum, round(avg(token_estimate), 6) AS avg, max(token_estimate) AS max,
+  arg_max(token_estimate, (updated_at_ms, query_id, ref_hash)) FILTER (token_estimate IS NOT NULL) AS latest FROM ({R}) GROUP BY 1""")
 def retrieval_statistics(spark, d):
-    return retrieval.statistics(_refs(spark, d), ["ref_type"], "token_estimate", "updated_at_ms").select("ref_type", "count", "sum", F.round("avg", 6).alias("avg"), "max")
+    r = _refs(spark, d).withColumn("at", F.when(F.col("token_estimate").isNotNull(), F.struct("updated_at_ms", "query_id", "ref_hash")))
+    return retrieval.statistics(r, ["ref_type"], "token_estimate", "at").select("ref_type", "count", "sum", F.round("avg", 6).alias("avg"), "max", "latest")
 
 
 @query("SELECT node_hash, coalesce(kind = 1, true) AND coalesce(tenant = 6703009289952758402, true) AS pass FROM context_node")

@@ -8,6 +8,8 @@ from tidemark import schemas
 from tidemark.functions import hashing
 from tidemark.operators import context, counters, extract, models, series, skills
 from tidemark.plans.context_store import E, END, START, _events
+from tidemark.plans.temporal import DAY
+from tidemark.plans.temporal import START as FIRST
 from tidemark.runtime import table
 from tidemark.streaming import ingest
 
@@ -282,7 +284,7 @@ def _increments(spark, d):
 
 
 I = "SELECT 'h' AS family, CAST(user_id AS VARCHAR) AS key, (epoch_us(ts) // 1000) AS ts_ms, CAST(floor(value) AS BIGINT) AS amount, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 432000000 END AS ttl_ms FROM events"
-NOW = END + 86_400_000 * 16
+NOW = FIRST + DAY * 24
 
 
 @query(f"""WITH u AS (SELECT key, arg_max(ts_ms + ttl_ms, seq) FILTER (ttl_ms IS NOT NULL) AS until FROM ({I}) GROUP BY 1)
