@@ -52,3 +52,11 @@ def forget(records: DataFrame, scope: dict[str, object], needed: tuple[str, ...]
         raise ValueError(f"a scope to forget needs {', '.join(needed)}")
     hit = reduce(lambda a, b: a & b, [F.coalesce(F.col(f) == F.lit(v), F.lit(False)) for f, v in scope.items()])
     return records.filter(~hit), records.filter(hit).agg(F.count(F.lit(1)).alias("removed"))
+
+
+def due_flushes(marks: DataFrame, now_ms: int, quiet_ms: int = 2_000, longest_ms: int = 30_000) -> DataFrame:
+    """``scope, first_ms, last_ms, marks, reason``: scopes (``scope, ts_ms``) to flush now, since nothing has come for ``quiet_ms`` (``quiet``) or the first mark has waited ``longest_ms`` (``waited``). In a stream this runs per
+    micro-batch under a processing-time trigger."""
+    g = marks.filter("scope is not null").groupBy("scope").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count("ts_ms").alias("marks"))
+    reason = F.when(F.col("last_ms") <= now_ms - quiet_ms, "quiet").when(F.col("first_ms") <= now_ms - longest_ms, "waited")
+    return g.withColumn("reason", reason).filter("reason is not null")

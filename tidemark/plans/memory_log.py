@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import tables
 from tidemark.operators import content, counters, decisions, memory_log, pipeline
+from tidemark.operators import joins
 from tidemark.plans.context_store import END
 from tidemark.plans.temporal import DAY
 from tidemark.plans.temporal import START as FIRST
@@ -174,3 +176,56 @@ def instance_top_by_slot(spark, d):
     feature = F.array(F.struct((i % 5).cast("string").alias("id"), F.floor("value").cast("bigint").alias("v1"), (i % 2).cast("int").alias("slot")))
     e = table(spark, d, "events").select("user_id", "event_type", schemas.epoch_ms("ts").alias("ts_ms"), feature.alias("features"))
     return decisions.last_instances(e, "user_id", 10, 2, "features", where=F.col("event_type") == "view", slot=1)
+
+
+@query(f"""SELECT CAST(node_hash AS VARCHAR) AS scope, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(ts_ms) AS marks, CASE WHEN max(ts_ms) <= {END} - 3600000 THEN 'quiet' ELSE 'waited' END AS reason FROM context_event
+  WHERE node_hash IS NOT NULL AND ts_ms BETWEEN {END - 86_400_000 * 30} AND {END} GROUP BY 1 HAVING max(ts_ms) <= {END} - 3600000 OR min(ts_ms) <= {END} - 86400000""")
+def memory_due_flushes(spark, d):
+    e = table(spark, d, "context_event").filter(F.col("ts_ms").between(END - 86_400_000 * 30, END)).select(F.col("node_hash").cast("string").alias("scope"), "ts_ms")
+    return memory_log.due_flushes(e, END, 3_600_000, 86_400_000)
+
+
+# -- joins on time, grouping sets, table functions -------------------------------------------------------------------
+def _visits(spark, d):
+    e = table(spark, d, "events")
+    return e.select("user_id", F.col("event_id").alias("point"), schemas.epoch_ms("ts").alias("at"))
+
+
+V = "SELECT user_id, event_id AS point, (epoch_us(ts) // 1000) AS at FROM events"
+
+
+@query(f"""WITH r AS (SELECT user_id, point AS rng, "at" AS s, "at" + (point % 5) * 43200000 AS e FROM ({V}) WHERE point % 11 = 0) SELECT p.user_id, point, rng FROM ({V}) p JOIN r ON r.user_id = p.user_id AND p."at" BETWEEN s AND e""")
+def join_range(spark, d):
+    v = _visits(spark, d)
+    ranges = v.filter("point % 11 = 0").select("user_id", F.col("point").alias("rng"), F.col("at").alias("s"), (F.col("at") + (F.col("point") % 5) * 43_200_000).alias("e"))
+    return joins.range_join(v, ranges, ["user_id"], "at", "s", "e", DAY).select("user_id", "point", "rng")
+
+
+@query(f"""WITH i AS (SELECT user_id, point, "at" AS s, "at" + (point % 4) * 86400000 AS e FROM ({V})) SELECT a.user_id, a.point AS a, b.point AS b FROM i a JOIN i b ON a.user_id = b.user_id AND a.point % 13 = 0 AND b.point % 7 = 0 AND a.s <= b.e AND b.s <= a.e""")
+def join_overlap(spark, d):
+    i = _visits(spark, d)
+    a = i.filter("point % 13 = 0").select("user_id", F.col("point").alias("a"), F.col("at").alias("s"), (F.col("at") + (F.col("point") % 4) * DAY).alias("e"))
+    b = i.filter("point % 7 = 0").select("user_id", F.col("point").alias("b"), F.col("at").alias("s2"), (F.col("at") + (F.col("point") % 4) * DAY).alias("e2"))
+    return joins.overlap_join(a, b, ["user_id"], "s", "e", "s2", "e2", DAY).select("user_id", "a", "b")
+
+
+@query(f"""WITH f AS (SELECT user_id, "at", max(point) AS fact FROM ({V}) WHERE point % 3 = 0 GROUP BY 1, 2) SELECT p.user_id, p.point, f.fact FROM ({V}) p ASOF LEFT JOIN f ON f.user_id = p.user_id AND p."at" >= f."at" """)
+def join_as_of(spark, d):
+    v = _visits(spark, d)
+    facts = v.filter("point % 3 = 0").select("user_id", F.col("at").alias("told"), F.col("point").alias("fact"))
+    return joins.as_of_join(v, facts, ["user_id"], "at", "told", ["fact"]).select("user_id", "point", "fact")
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS amount, CAST(grouping(user_id, event_type) AS BIGINT) AS level FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id), (event_type), ())""")
+def rollup_grouping_sets(spark, d):
+    """Counts and sums at four levels in one pass."""
+    e = table(spark, d, "events")
+    sets = [[F.col("user_id"), F.col("event_type")], [F.col("user_id")], [F.col("event_type")], []]
+    return e.groupingSets(sets, "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).cast("bigint").alias("amount"), F.grouping_id().cast("bigint").alias("level"))
+
+
+@query()
+def content_chunks_in_sql(spark, d):
+    """The chunker as a table function; held against ``content_chunks`` in the tests."""
+    tables.register(spark)
+    return table(spark, d, "documents").lateralJoin(tables.TextChunks(F.col("text").outer())).select("doc_id", "chunk", "path", "level", "start", "stop")
