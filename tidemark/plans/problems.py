@@ -51,12 +51,16 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+#: By how many bits ids are shortened where ranges are shown, so that neighbours occur and ranges merge.
+SHORTENED = 46
+
+
 def p2_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many ranges each tenant's numbers make up after the last round, and the numbers they hold; ids are divided by 2**54, so that ranges merge."""
-    events = table(spark, sf_dir, "context_event").select("delivery_id", "tenant", F.shiftright("event_id_hash", 54).alias("number"))
+    """The merged ranges of each tenant's shortened ids after one half of the deliveries is held against the ranges of the other."""
+    events = table(spark, sf_dir, "context_event").select("delivery_id", "tenant", F.shiftright("event_id_hash", SHORTENED).alias("number"))
     seen = dedup.seen_ranges(events.filter("delivery_id % 2 = 0"), "tenant", "number")
     _, ranges = dedup.accept_batch(events.filter("delivery_id % 2 <> 0"), seen, "tenant", "number", [F.col("delivery_id")])
-    return ranges.groupBy(F.col("producer").alias("tenant")).agg(F.count(F.lit(1)).alias("n_ranges"), F.sum(F.col("hi") - F.col("lo") + 1).alias("n_numbers"), F.min("lo").alias("least"), F.max("hi").alias("greatest"))
+    return ranges.select(F.col("producer").alias("tenant"), "lo", "hi")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +116,9 @@ ORACLE = {
     "p2_batches": f"""WITH r AS (SELECT *, CAST(floor((batch_id - lo) * {ROUNDS} / CAST(hi - lo + 1 AS DOUBLE)) AS INT) AS round FROM context_event, (SELECT min(batch_id) AS lo, max(batch_id) AS hi FROM context_event))
       SELECT delivery_id, round FROM r WHERE round IS NOT NULL QUALIFY event_id_hash IS NULL OR event_id_hash = 0 OR tenant IS NULL
         OR row_number() OVER (PARTITION BY tenant, event_id_hash ORDER BY round, created_at_ms ASC NULLS LAST, delivery_id) = 1""",
-    "p2_ranges": """WITH n AS (SELECT DISTINCT tenant, event_id_hash >> 54 AS number FROM context_event WHERE tenant IS NOT NULL AND event_id_hash IS NOT NULL AND event_id_hash >> 54 <> 0),
+    "p2_ranges": f"""WITH n AS (SELECT DISTINCT tenant, event_id_hash >> {SHORTENED} AS number FROM context_event WHERE tenant IS NOT NULL AND event_id_hash IS NOT NULL AND event_id_hash >> {SHORTENED} <> 0),
       g AS (SELECT *, number - row_number() OVER (PARTITION BY tenant ORDER BY number) AS isle FROM n)
-      SELECT tenant, count(DISTINCT isle) AS n_ranges, count(*) AS n_numbers, min(number) AS least, max(number) AS greatest FROM g GROUP BY tenant""",
+      SELECT tenant, min(number) AS lo, max(number) AS hi FROM g GROUP BY tenant, isle""",
     "p6_found": f"SELECT delivery_id FROM ({_HAPPENED}) WHERE {_LATE}",
     "p6_hourly": f"""SELECT tenant, hour_ms, count(*) AS n_events, round(avg(CAST(importance AS DOUBLE)), 6) AS mean_importance
       FROM ({_HAPPENED}) WHERE hour_ms IS NOT NULL AND NOT {_LATE} GROUP BY tenant, hour_ms""",
