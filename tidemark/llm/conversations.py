@@ -95,7 +95,7 @@ def _messages(rows: DataFrame, content: bool = False) -> DataFrame:
 
 
 _SUMMARY = "session string, part bigint, n bigint, bad_ts bigint, bad_role bigint, blank bigint, users bigint, lead bigint, unanswered bigint, tail string, cyclic bigint"
-_PLACED = "session string, part bigint, local bigint, row bigint"
+_PLACED = f"{_SUMMARY}, local bigint, row bigint"
 
 
 def _named(schema: str) -> list[str]:
@@ -145,37 +145,63 @@ def _answered(rows: list[tuple], parents: list[int], order: list[int]) -> tuple[
     return answered, lead
 
 
+def _summary(session: str, part: int, rows: list[tuple]) -> tuple[tuple, list[int]]:
+    """(the segment's row of ``_SUMMARY``, Kahn's order)."""
+    parents, keys = _graph(rows)
+    order, leftover = kahn(parents, keys)
+    answered, lead = _answered(rows, parents, order)
+    users = [i for i in order if rows[i][2] == "user"]
+    seam = len(rows[0]) <= 4  # whether messages of a later segment may answer the last user message
+    open_ = [i for i in users if i not in answered]
+    tail = ("open" if users[-1] not in answered else "answered") if users and seam else "answered" if lead and seam else None
+    return (
+        session, part, len(rows), sum(r[0] is None for r in rows), sum(r[2][:1] == "?" for r in rows), sum(bool(r[3]) and r[2] in ("user", "assistant") for r in rows),
+        sum(r[2] == "user" for r in rows), lead, len(open_) - (tail == "open"), tail, len(leftover),
+    ), order
+
+
+_KINDS = [pa.string(), *[pa.int64()] * 8, pa.string(), pa.int64()]
+
+
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    out = []
-    for session, rows in _segments(batches):
-        parents, keys = _graph(rows)
-        order, leftover = kahn(parents, keys)
-        answered, lead = _answered(rows, parents, order)
-        users = [i for i in order if rows[i][2] == "user"]
-        seam = len(rows[0]) <= 4  # whether messages of a later segment may answer the last user message
-        open_ = [i for i in users if i not in answered]
-        tail = ("open" if users[-1] not in answered else "answered") if users and seam else "answered" if lead and seam else None
-        out.append((
-            session, part, len(rows), sum(r[0] is None for r in rows), sum(r[2][:1] == "?" for r in rows), sum(bool(r[3]) and r[2] in ("user", "assistant") for r in rows),
-            sum(r[2] == "user" for r in rows), lead, len(open_) - (tail == "open"), tail, len(leftover),
-        ))
+    out = [_summary(session, part, rows)[0] for session, rows in _segments(batches)]
     if out:
-        kinds = [pa.string(), *[pa.int64()] * 8, pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_named(_SUMMARY))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_named(_SUMMARY))
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every segment its summary, with no place, and a row for each message with its place and no summary."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
+    names = [*_named(_SUMMARY), "local", "row"]
+    told: list[tuple] = []
+    sessions: list[str] = []
+    places: list[int] = []
+    ids: list[int] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        n = len(told)
+        if n:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*told), _KINDS)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+        n = len(ids)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(sessions), pa.array([part] * n, pa.int64()), *(pa.nulls(n, k) for k in _KINDS[2:]), pa.array(places, pa.int64()), pa.array(ids, pa.int64())], names=names)
+        for held in (told, sessions, places, ids):
+            held.clear()
+
     for session, rows in _segments(batches):
-        order, _ = kahn(*_graph(rows))
-        n = len(order)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([session] * n), pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([rows[i][1] for i in order], pa.int64())], names=_named(_PLACED))
+        summary, order = _summary(session, part, rows)
+        told.append(summary)
+        sessions += [session] * len(order)
+        places += range(len(order))
+        ids += [rows[i][1] for i in order]
+        if len(ids) >= 10_000:
+            yield from flush()
+    yield from flush()
 
 
 def _sorted(messages: DataFrame) -> DataFrame:
@@ -221,11 +247,11 @@ def sessions(df: DataFrame, session: str = "session_id", row: str = "row_id", ts
     same session, null for none) messages follow the reply graph; a reply to a row that does not exist counts as no reply, one to a repeated
     row as one to the row that counts. Messages on or behind a circle answer nothing.
     """
-    return _verdicts(*_prepared(df, session, row, ts, role, content, reply_to, False))
+    messages, doubled = _prepared(df, session, row, ts, role, content, reply_to, False)
+    return _verdicts(_sorted(messages).mapInArrow(_summarise, _SUMMARY), doubled)
 
 
-def _verdicts(messages: DataFrame, doubled: DataFrame | None) -> DataFrame:
-    parts = _sorted(messages).mapInArrow(_summarise, _SUMMARY)
+def _verdicts(parts: DataFrame, doubled: DataFrame | None) -> DataFrame:
     if doubled is not None:
         parts = parts.unionByName(_summarise_doubled(doubled))
     w = W.partitionBy("session").orderBy("part")
@@ -296,13 +322,12 @@ def turns(df: DataFrame, session: str = "session_id", row: str = "row_id", ts: s
     """The ordered messages of the sessions that are not broken: ``session_id, position (from 0), row_id, role, content``. ``reply_to`` as in :func:`sessions`."""
     messages, doubled = _prepared(df, session, row, ts, role, content, reply_to, True)
     messages = cut(messages)
-    good = _verdicts(messages, doubled).filter("not broken").select(F.col("session_id").alias("session"))
-    placed = _sorted(messages).mapInArrow(_place, _PLACED)
-    whole = messages
+    told = cut(_sorted(messages).mapInArrow(_place, _PLACED))
+    good = _verdicts(told.filter("local is null").drop("local", "row"), doubled).filter("not broken").select(F.col("session_id").alias("session"))
+    placed, whole = told.filter("local is not null").select("session", "part", "local", "row"), messages
     if doubled is not None:
         placed = placed.unionByName(_place_doubled(doubled))
         whole = messages.select("session", "row", "role", "content").unionByName(doubled.select("session", "row", "role", "content"))
-    placed = cut(placed)
     sizes = placed.groupBy("session", "part").agg(F.count(F.lit(1)).alias("k"))
     offset = F.coalesce(F.sum("k").over(W.partitionBy("session").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
