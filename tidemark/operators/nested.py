@@ -196,11 +196,15 @@ class StructuralIndex:
         return self.data[start:end].strip()
 
     def null(self, start: int, end: int) -> bool:
-        return self.data[start:end].strip() == b"null"
+        return (end - start < 64 or self.opening(start, end) is None) and self.data[start:end].strip() == b"null"
 
     def fields(self, opening: int) -> dict[str, tuple[int, int]]:
         """Keys and value spans of an object; of a repeated key the last counts."""
-        return {_key(self.data[a:c].strip()): (c + 1, b) for a, b, c in self.members(opening)}
+        data, out = self.data, {}
+        for a, b, c in self.members(opening):
+            raw = data[a:c].strip()
+            out[raw[1:-1].decode("utf-8", "surrogatepass") if b"\\" not in raw else _key(raw)] = (c + 1, b)
+        return out
 
     def field(self, opening: int, name: bytes) -> tuple[int, int] | None:
         """The value span of one key of an object, None if it has none; spans that cannot hold the key are not looked into."""
@@ -218,22 +222,22 @@ def _key(raw: bytes) -> str:
 
 def _elements(ix: StructuralIndex, span: tuple[int, int]) -> list[tuple[int, tuple[int, int]]]:
     """(position, span) of the elements of a list that are not null; a single value is a list of one."""
-    value = ix.text(*span)
-    if value == b"null":
-        return []
-    if value[:1] != b"[":
-        return [(0, span)]
-    return [(i, (a, b)) for i, (a, b, _) in enumerate(ix.members(ix.opening(*span))) if not ix.null(a, b)]
+    opening = ix.opening(*span)
+    if opening is None or ix.kind[opening] != 91:
+        return [] if ix.null(*span) else [(0, span)]
+    return [(i, (a, b)) for i, (a, b, _) in enumerate(ix.members(opening)) if not ix.null(a, b)]
 
 
 def _walk(ix: StructuralIndex, root: str, span: tuple[int, int]) -> Iterator[tuple[str, str, str, tuple[int, int]]]:
     """(child, child_key, parent_key, span of the value) rows under one root."""
 
     def fields(s: tuple[int, int]) -> dict[str, tuple[int, int]]:
-        return ix.fields(ix.opening(*s)) if ix.text(*s)[:1] == b"{" else {}
+        opening = ix.opening(*s)
+        return ix.fields(opening) if opening is not None and ix.kind[opening] == 123 else {}
 
     def field(s: tuple[int, int], name: bytes) -> tuple[int, int] | None:
-        return ix.field(ix.opening(*s), name) if ix.text(*s)[:1] == b"{" else None
+        opening = ix.opening(*s)
+        return ix.field(opening, name) if opening is not None and ix.kind[opening] == 123 else None
 
     if root == "envelope":
         if messages := field(span, b"messages"):
@@ -276,8 +280,7 @@ def _shred(seqs: list, payloads: list[str], values: bool = True) -> list[tuple]:
         for root in _ROOTS:
             if (span := top.get(root)) is None:
                 continue
-            value = ix.text(*span)
-            if value[:1] == b'"':
+            if ix.opening(*span) is None and (value := ix.text(*span))[:1] == b'"':
                 inner.append((seq, root, json.loads(value).encode("utf-8", "surrogatepass")))
             else:
                 out += rows(ix, seq, root, span)
