@@ -40,7 +40,7 @@ def test_verbs_agree_on_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame([(k or "none", t * 1000, s, v) for k, t, s, v in rows(2)], "k string, ts_ms bigint, seq int, v int").repartition(5)
     verbs = [
         lambda d: decisions.running_cap(d, ["k"], 40), lambda d: decisions.accepted_cap(d, ["k"], 30), lambda d: decisions.debounced(d, ["k"], 500), lambda d: decisions.once(d, ["k"], "v", "ts_ms", "seq"),
-        lambda d: decisions.trailing_count(d, ["k"], 7_000), lambda d: counters.set_and_get(_increments(d), 9_000, 3_000, "uuid"),
+        lambda d: decisions.trailing_count(d, ["k"], 7_000), lambda d: decisions.trailing_distinct(d, ["k"], "v", 7_000), lambda d: counters.set_and_get(_increments(d), 9_000, 3_000, "uuid"),
         lambda d: decisions.counted_impressions(d, ["k"], "v", 3), lambda d: retrieval.keyed_truth(d, "k", "v", "seq"), lambda d: memory.lifecycle(d.withColumn("c", F.col("v").cast("string")).withColumn("gone", F.col("v") == 1), "k", "c", "seq", "gone"),
     ]
     plain = [sorted(map(str, f(df).collect())) for f in verbs]

@@ -78,13 +78,28 @@ def trailing_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int
 
     An occurrence stands for its value until it leaves the window or the value comes again; so the number is a running sum of
     starts and ends, and no set is held for any row."""
-    at, delta, real = (fresh_name(df.columns, x) for x in ("__at", "__delta", "__real"))
-    again = F.lead(ts).over(W.partitionBy(*keys, value).orderBy(ts))
-    leaves = F.col(ts) + window_ms + 1
-    starts = df.withColumn(at, F.col(ts)).withColumn(delta, F.lit(1)).withColumn(real, F.lit(True))
-    ends = df.select(*keys, F.least(leaves, F.coalesce(again, leaves)).alias(at), F.lit(-1).alias(delta), F.lit(False).alias(real))
-    both = starts.unionByName(ends, allowMissingColumns=True)
-    return both.withColumn("uniques", F.sum(delta).over(W.partitionBy(*keys).orderBy(at))).filter(real).drop(at, delta, real)
+    at, delta, real, again, back = (fresh_name(df.columns, x) for x in ("__at", "__delta", "__real", "__again", "__back"))
+
+    def marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows that start to count at their time, the times at which they stop)."""
+        leaves = F.col(ts) + window_ms + 1
+        ends = rows.select(*keys, F.least(leaves, F.coalesce(again, leaves)).alias(at), F.lit(-1).alias(delta), F.lit(False).alias(real))
+        return rows.drop(again), ends
+
+    def plain(rows: DataFrame) -> DataFrame:
+        told, ends = marked(rows.withColumn(again, F.lead(ts).over(W.partitionBy(*keys, value).orderBy(ts))))
+        both = told.withColumn(at, F.col(ts)).withColumn(delta, F.lit(1)).withColumn(real, F.lit(True)).unionByName(ends, allowMissingColumns=True)
+        return both.withColumn("uniques", F.sum(delta).over(W.partitionBy(*keys).orderBy(at))).filter(real).drop(at, delta, real)
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        later = ordered.lagged(rows.withColumn(back, -F.col(ts)), [*keys, value], [back], F.col(ts), again).drop(back)
+        told, ends = marked(later)
+        starts = told.select(*keys, F.col(ts).alias(at), F.lit(1).alias(delta), F.lit(False).alias(real))
+        reads = told.withColumn(at, F.col(ts)).withColumn(real, F.lit(True))  # false before true: a row reads after all changes of its time
+        both = reads.unionByName(starts.unionByName(ends), allowMissingColumns=True)
+        return ordered.running(both, keys, [at, real], F.col(delta), "uniques").filter(real).drop(at, delta, real)
+
+    return ordered.split_hot(df, keys, plain, sliced)
 
 
 def pacing(spent: Column, target: Column) -> Column:

@@ -19,7 +19,7 @@ from tidemark.runtime import cut, fresh_name
 HOT_ROWS = 1_000_000
 
 
-def _split(df: DataFrame, by: list[str], plain, sliced) -> DataFrame:
+def split_hot(df: DataFrame, by: list[str], plain, sliced) -> DataFrame:
     """``plain`` over the rows of ordinary keys, ``sliced`` over those of hot ones."""
     far = [fresh_name(df.columns, f"__{c}") for c in by]
     hot = df.groupBy(*(F.col(c).alias(f) for c, f in zip(by, far))).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > HOT_ROWS).drop("__rows")
@@ -63,7 +63,7 @@ def running(df: DataFrame, by: list[str], order: list, amount: Column, name: str
         inner = placed.withColumn(name, over(placed, [*by, part]))
         return _carried(inner, ends, by, part, before, "__carry").withColumn(name, add(F.col(name), F.col("__carry"))).drop("__carry", part)
 
-    return _split(df, by, lambda rows: rows.withColumn(name, over(rows, by)), sliced)
+    return split_hot(df, by, lambda rows: rows.withColumn(name, over(rows, by)), sliced)
 
 
 def lagged(df: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
@@ -81,7 +81,7 @@ def lagged(df: DataFrame, by: list[str], order: list, value: Column, name: str)
         inner = placed.withColumn(name, over([*by, part])).withColumn(first, F.row_number().over(W.partitionBy(*by, part).orderBy(*order)) == 1)
         return _carried(inner, ends, by, part, before, "__carry").withColumn(name, F.when(F.col(first), F.col("__carry.v")).otherwise(F.col(name))).drop("__carry", part, first)
 
-    return _split(df, by, lambda rows: rows.withColumn(name, over(by)), sliced)
+    return split_hot(df, by, lambda rows: rows.withColumn(name, over(by)), sliced)
 
 
 def trailing(df: DataFrame, by: list[str], ts: str, window: int, amount: Column, name: str, lag: int = 0) -> DataFrame:
@@ -100,4 +100,4 @@ def trailing(df: DataFrame, by: list[str], ts: str, window: int, amount: Column,
         told = running(reads.unionByName(enters.unionByName(leaves), allowMissingColumns=True), by, [at, kind], F.col(change), name)
         return told.filter(F.col(kind) == 1).withColumn(name, F.coalesce(name, F.lit(0))).drop(at, kind, change)
 
-    return _split(df, by, plain, sliced)
+    return split_hot(df, by, plain, sliced)
