@@ -91,3 +91,85 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
     texts, _ = reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 30)
     assert 0 < sum(map(len, texts)) <= 200 and max(map(len, texts)) < 50
     assert len(reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", 4)[0]) == 4
+
+
+def _frames(spark, n, level=lambda i, v: v):
+    rows = corpus(5, n)
+    return spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, level(i, v)) for i, _, v in rows], "doc_id bigint, reading_level double")
+
+
+def test_all_labelled_documents_count(spark):
+    # more of them than the 3,000 that once were the most: each has a word of its own, and models and map know them all
+    n = 3600
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('We see the ', IF(id % 2 = 0, 'cat', 'notwithstanding'), ' upon word', translate(id, '0123456789', 'abcdefghij'), ' here.') AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id % 2 = 0, 1.0D, 5.0D) AS reading_level")
+    models, _, ys = reading.fit(reading.labelled(docs, labels, "doc_id", "text", "reading_level"))
+    assert sum(w.startswith("word") for w in models.vocab.to_pylist()) == n
+    assert models.n["easy"].sum() == models.n["hard"].sum() == n / 2 * 7 and models.n["prose"].sum() == n * 7 and models.n["other"].sum() == 0
+    assert (ys.min(), ys.max()) == (1.0, 5.0)
+
+
+def test_a_document_is_mapped_without_its_own_words(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    docs, labels = _frames(spark, 40)
+    both = {r["t"]: r["y"] for r in reading.labelled(docs, labels, "doc_id", "text", "reading_level").collect()}
+    of = lambda v: 3 if v is None else 0 if v <= 2.5 else 2 if v >= 3.5 else 1
+    texts = list(both)
+    frame = lambda ts: spark.createDataFrame([(t, both[t]) for t in ts], "t string, y double")
+    whole = reading.fit(frame(texts))[0]
+    got = whole.score(pa.array(texts), np.array([of(both[t]) for t in texts]))
+    # words of the left out text alone stay in the vocabulary, so that only the size by which the floor is spread may differ
+    for i in range(0, 40, 7):
+        rest = reading.fit(frame(texts[:i] + texts[i + 1:]))[0]
+        one = rest.score(pa.array(texts[i:i + 1]))
+        assert {k: got[k][i] for k in got} == pytest.approx({k: v[0] for k, v in one.items()}, rel=1e-9, nan_ok=True)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_models_left_in_spark_give_the_same_levels(spark, monkeypatch, seed):
+    rows = corpus(seed, 160)
+    odd = [(900, None), (901, ""), (902, "12 <b> ... !"), (903, "unheard of words only here"), (None, "We see the big red dog."), (3, rows[3][1]), (3, "We see the big red dog. The cat run.")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + odd, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, v) for i, _, v in rows[:120]] + [(902, 1.0), (777, 5.0), (None, 5.0)], "doc_id bigint, reading_level double")
+    sent = [tuple(r) for r in reading.levels(docs, labels).collect()]
+    monkeypatch.setattr(reading, "MAX_PAIRS", 0)
+    monkeypatch.setattr(reading, "MAX_IDS", 0)
+    joined = [tuple(r) for r in reading.levels(docs, labels).collect()]
+    plain = lambda rows: sorted([float("nan") if v is None else v for v in r] for r in ([-1 if r[0] is None else r[0], *r[2:4], r[1], *r[4:]] for r in rows))
+    assert len(sent) == len(joined) == 167 and sum(r[1] is not None for r in sent) > 100
+    for a, b in zip(plain(sent), plain(joined)):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9, nan_ok=True)
+
+
+def test_isotonic_in_slices_is_that_of_the_whole(spark):
+    import numpy as np
+
+    rnd = random.Random(4)
+    x = [float(v) for v in rnd.sample(range(10**6), 2000)]
+    y = [float(rnd.choice([1, 2, 3, 4, 5]) if rnd.random() < 0.4 else 1 + 4 * (v > 5e5)) for v in x]
+    points = spark.createDataFrame(list(zip(x, y)), "score double, y double")
+    for got, want in zip(reading.isotonic_of(points), reading.isotonic(np.array(x), np.array(y))):
+        assert got == pytest.approx(want)
+    tied = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (2.0, 5.0), (3.0, 2.0), (4.0, 5.0)], "score double, y double")
+    xs, ys = reading.isotonic_of(tied)
+    assert list(np.interp([1, 2, 3, 4], xs, ys)) == pytest.approx([1.0, 8 / 3, 8 / 3, 5.0])
+
+
+def test_a_passage_found_in_prose_and_in_the_rest_alike_tells_nothing(spark):
+    quoted = "Assume a brackish lighthouse keeper recalls the kiln ledger while the glacial barometer clerk borrows tidal granary cards and the mossy belfry clerk rewinds sullen causeway cards"
+    said = {0: "We see the big red dog. The cat can run. ", 1: "Notwithstanding epistemological reconciliation whereas observability. ", 2: "kurze notiz ordnet ablage. bevor spur die liest neue. "}
+    rows = [(i, said[i % 3] * 3 + (quoted + ". ") * (i % 4 == 0 or i % 3 == 2), [1.0, 5.0, None][i % 3]) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(500 + k, said[k] + quoted + ". ") for k in said], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["level"] for r in reading.levels(docs, spark.createDataFrame([(i, v) for i, _, v in rows], "doc_id bigint, reading_level double")).collect()}
+    assert [got[500 + k] for k in said] == [1.0, 5.0, None]
+    assert {v for i, v in got.items() if i % 3 == 2 and i < 120} == {None} and None not in {v for i, v in got.items() if i % 3 < 2 and i < 120}
+
+
+def test_levels_that_only_few_of_many_labelled_documents_tell(spark):
+    # each word stands in two labelled documents, and only they tell how hard it is
+    docs = spark.range(7200).selectExpr("id AS doc_id", "concat(repeat(concat(translate(id DIV 2, '0123456789', 'abcdefghij'), 'x '), 6), '.') AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id DIV 2 % 2 = 0, 1.0D, 5.0D) AS reading_level")
+    got = reading.levels(docs, labels).selectExpr("doc_id DIV 2 % 2 AS hard", "round(level) AS level").groupBy("hard", "level").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 1.0, 3600), (1, 5.0, 3600)]
